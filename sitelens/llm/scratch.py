@@ -1,0 +1,53 @@
+"""Tables that cut lineage: Parquet in the folder all executors share.
+
+A job that loses executors rereads these tables instead of recomputing
+everything before them. They are deleted when the session's JVM ends.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_local: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where it is unset and the master is ``local`` (tests), a temporary folder
+    is made once per application; on a cluster that is an error, as executors
+    can't see each other's local folders.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = tempfile.mkdtemp(prefix="sitelens-")
+    return f"file://{_local[context.applicationId]}"
+
+
+def table(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` as a shared Parquet table and return a reader of it.
+
+    Shuffle files of the writing query are released when it ends, so the disk
+    that several steps need is that of the largest one, not the sum.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/sitelens/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
