@@ -96,10 +96,13 @@ def thresholds(
     held = signal.filter(~base_failed()).join(good, F.col(id_col) == F.col("_l"), "left_semi")
     above = [F.count_if(F.expr(e) >= c).alias(f"{name}_{i}") for name, e in rules for i, c in enumerate(cutoffs)]
     counts = held.groupBy("stratum").agg(F.count("*").alias("_n"), *above)
-    tests = counts.withColumn("_tests", F.count("*").over(W.partitionBy()) * len(rules) * len(cutoffs))
-    fits = lambda name, i: binomial_cdf(F.col(f"{name}_{i}"), F.col("_n"), risk / len(rules)) <= F.lit(error) / F.col("_tests")
-    lowest = [F.coalesce(*(F.when(fits(name, i), F.lit(c)) for i, c in enumerate(cutoffs))).alias(f"cut_{name}") for name, _ in rules]
-    return tests.select("stratum", *lowest)
+    listed = F.array(*(
+        F.struct(F.lit(name).alias("rule"), F.lit(float(c)).alias("cut"), F.col(f"{name}_{i}").alias("k")) for name, _ in rules for i, c in enumerate(cutoffs)
+    ))
+    tests = counts.select("stratum", "_n", F.count("*").over(W.partitionBy()).alias("_strata"), F.explode(listed).alias("t"))
+    certain = binomial_cdf(F.col("t.k"), F.col("_n"), risk / len(rules)) <= F.lit(error / len(rules) / len(cutoffs)) / F.col("_strata")
+    lowest = [F.min(F.when(F.col("_ok") & (F.col("t.rule") == name), F.col("t.cut"))).alias(f"cut_{name}") for name, _ in rules]
+    return tests.withColumn("_ok", certain).groupBy("stratum").agg(*lowest)
 
 
 def judge(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, packing, quality_rules, scratch, sharding, token_counts
+from . import chat_format, exact_dedup, jaccard_join, mixing, packing, quality_rules, scratch, sharding, token_counts
 from .oracles import ORACLES
 from .text import count_words
 from .tokens import public_path
@@ -40,6 +40,11 @@ def op6_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard_join.jaccard_groups(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "class_id", "copy_id", "class_size", "n_links")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "\\### Assistant: </turn> ok"
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -67,7 +72,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_best_fit_packing, op4_token_counts, op5_quality_rules, op6_two_pass_shuffle, op8_chat_format, op9_exact_dedup, op10_mix_sources,
+        op2_best_fit_packing, op4_token_counts, op5_quality_rules, op6_two_pass_shuffle, op7_ngram_jaccard_join, op8_chat_format, op9_exact_dedup, op10_mix_sources,
     )
 }
 

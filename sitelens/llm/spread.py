@@ -1,0 +1,49 @@
+"""Lookups that no hot key can pile onto one task, and connected components built on them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import scratch
+
+SALTS = 128
+
+
+def lookup(rows: DataFrame, key: str, by: str, table: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` joined on ``key`` to ``table`` (one row per key), its rows spread by the column ``by``.
+
+    The table's row first goes to the at most 128 distinct (key, salt) pairs
+    that exist, then to the rows, so a key with a third of all rows is dealt to
+    128 tasks. Null keys find nothing.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    pairs = salted.select(key, "_salt").distinct()
+    return salted.join(pairs.join(table, key), [key, "_salt"], how).drop("_salt")
+
+
+def components(edges: DataFrame, label: str) -> DataFrame:
+    """Distributed union-find: (a, b) edges to (v, root), root the smallest vertex of v's component.
+
+    Each round hooks a vertex to the smallest root among its neighbours, then
+    jumps to its root's root; it ends when a round changes nothing. A round is
+    a shared table, so lineage stays short. Self-loops are allowed; without
+    edges the result is empty. The driver sees one count per round.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = scratch.table(both.filter("a != b").distinct(), f"{label}-edges")
+    loops = edges.filter("a = b").select(F.col("a").alias("v"), F.col("a").alias("root")).distinct()
+    near = both.groupBy("a").agg(F.min("b").alias("m"))
+    labels = scratch.table(near.select(F.col("a").alias("v"), F.least("a", "m").alias("root")), f"{label}-labels")
+    while True:
+        seen = lookup(both, "b", "a", labels.select(F.col("v").alias("b"), "root"))
+        best = seen.groupBy("a").agg(F.min("root").alias("m"))
+        hooked = labels.join(best.withColumnRenamed("a", "v"), "v").select("v", F.col("root").alias("old"), F.least("root", "m").alias("root"))
+        hooked = scratch.table(hooked, f"{label}-hooked")
+        far = hooked.select(F.col("v").alias("root"), F.col("root").alias("r"))
+        jumped = lookup(hooked, "root", "v", far).select("v", "old", F.least("root", "r").alias("root"))
+        labels = scratch.table(jumped, f"{label}-labels")
+        if labels.filter("old != root").isEmpty():
+            break
+        labels = labels.drop("old")
+    return labels.select("v", "root").unionByName(loops.join(labels.select("v"), "v", "left_anti"))
