@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, jaccard_join, mixing, packing, quality_rules, scratch, sharding, token_counts
+from . import chat_format, exact_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, scratch, sharding, token_counts
 from .oracles import ORACLES
 from .text import count_words
 from .tokens import public_path
@@ -21,6 +21,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_path(), 2048)
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_counts.token_lengths(_read(spark, sf_dir, "documents"), public_path(), keep=("source",))
     return token_counts.suffix_sums(token_counts.length_histogram(lengths, "source"))
@@ -72,7 +77,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_best_fit_packing, op4_token_counts, op5_quality_rules, op6_two_pass_shuffle, op7_ngram_jaccard_join, op8_chat_format, op9_exact_dedup, op10_mix_sources,
+        op2_best_fit_packing, op3_line_dedup, op4_token_counts, op5_quality_rules, op6_two_pass_shuffle, op7_ngram_jaccard_join, op8_chat_format, op9_exact_dedup, op10_mix_sources,
     )
 }
 
