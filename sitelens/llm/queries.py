@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, scratch, sharding, token_counts
+from . import chat_format, exact_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, scratch, sharding, suffix_dedup, token_counts
 from .oracles import ORACLES
 from .text import count_words
 from .tokens import public_path
@@ -17,6 +17,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.repeated_spans(_read(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["length"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_path(), 2048)
 
@@ -77,7 +83,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op2_best_fit_packing, op3_line_dedup, op4_token_counts, op5_quality_rules, op6_two_pass_shuffle, op7_ngram_jaccard_join, op8_chat_format, op9_exact_dedup, op10_mix_sources,
+        op1_suffix_array_dedup, op2_best_fit_packing, op3_line_dedup, op4_token_counts, op5_quality_rules, op6_two_pass_shuffle, op7_ngram_jaccard_join, op8_chat_format, op9_exact_dedup, op10_mix_sources,
     )
 }
 
