@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,20 +89,20 @@ def _digest(hashes: np.ndarray) -> bytes:
 
 
 def sketch(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, set_key (128-bit digest of the shingle set; null without words), tokens (64 unsigned 32-bit)."""
-    rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    schema = rows.select("id").withColumns({"set_key": F.lit(b""), "tokens": F.lit(b"")}).schema
+    """id, th (64-bit hash of the text), set_key (128-bit digest of the shingle set; null without words), tokens (64 unsigned 32-bit)."""
+    rows = df.select(df[id_col].alias("id"), F.xxhash64(df[text_col]).alias("th"), df[text_col].alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t) for t in b.pop("text")]
-            b["set_key"] = [_digest(s) if len(s) else None for s in sets]
-            b["tokens"] = [tokens_of(s).tobytes() if len(s) else None for s in sets]
-            yield b
+            keys, tokens = [], []
+            for t in b.column("text"):
+                s = shingles(t.as_py())
+                keys.append(_digest(s) if len(s) else None)
+                tokens.append(tokens_of(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_pydict({"id": b.column("id"), "th": b.column("th"), "set_key": pa.array(keys, "binary"), "tokens": pa.array(tokens, "binary")})
 
-    for field in schema:
-        field.nullable = True
-    return rows.mapInPandas(work, schema)
+    return rows.mapInArrow(work, f"id {kind}, th long, set_key binary, tokens binary")
 
 
 def runs_for(recall: float, similarity: float) -> int:
@@ -236,7 +237,7 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One row per input row: id, set_key, copy_id, class_id, class_size, n_links.
+    """One row per input row: id, th, set_key, copy_id, class_id, class_size, n_links.
 
     copy_id is the smallest id with the same shingle set, class_id the smallest
     id of all documents connected by links, n_links how many other rows have a
@@ -285,8 +286,23 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heads = about.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.sum("copies").alias("class_size"))
     final = lookup(about, "root", "set_key", heads)
     final = final.select("set_key", "copy_id", "class_id", "class_size", (F.col("links") + F.col("copies") - 1).alias("n_links"))
-    out = lookup(some.select("id", "set_key"), "set_key", "id", final)
+    out = lookup(some.select("id", "th", "set_key"), "set_key", "id", final)
     alone = sketches.filter("set_key is null").select(
-        "id", "set_key", F.col("id").alias("copy_id"), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links")
+        "id", "th", "set_key", F.col("id").alias("copy_id"), F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links")
     )
     return out.select(alone.columns).unionByName(alone).withColumnRenamed("id", id_col)
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """``df`` with one document of each class: the one whose id is the class's smallest, of rows that repeat that id one.
+
+    Documents without words all stay. Columns are those of ``df``; names that
+    start with an underscore are not to be used for _stays and _th.
+    """
+    groups = jaccard_groups(df, id_col, text_col, threshold, recall)
+    heads = groups.filter("set_key is not null").filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select("class_id", F.col("set_key"), "th")
+    heads = heads.groupBy("class_id").agg(F.min("th").alias("_th")).select(F.col("class_id").alias("_stays"), "_th")
+    bare = groups.filter("set_key is null").select(F.col(id_col).alias("_stays"), F.col("th").alias("_th")).distinct()
+    stays = heads.unionByName(bare)
+    met = df.join(stays, df[id_col].eqNullSafe(F.col("_stays")) & (F.xxhash64(df[text_col]) == F.col("_th")))
+    return met.drop("_stays").dropDuplicates([id_col, "_th"]).drop("_th")

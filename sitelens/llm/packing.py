@@ -14,7 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -35,20 +35,23 @@ def token_pieces(df: DataFrame, path: str, capacity: int, id_col: str = "doc_id"
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for b in batches:
             out = []
-            for i, text in zip(b["id"], b["text"], strict=True):
-                ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
-                first = len(ids) % capacity or capacity
-                bounds = [0, *range(first, len(ids) + 1, capacity)]
+            for row, text in enumerate(b.column("text")):
+                ids = np.append(encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+                bounds = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                 for k, (s, e) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                    part = ids[s:e]
-                    out.append((None if pd.isna(i) else i, k, s, e - s, zlib.crc32(part.tobytes()), *([part.astype("int64")] if with_ids else [])))
-            yield pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+                    out.append((row, k, s, e - s, zlib.crc32(ids[s:e].tobytes()), ids[s:e] if with_ids else None))
+            row, k, s, n, crc, part = zip(*out, strict=True) if out else ((),) * 6
+            columns = {
+                "id": b.column("id").take(pa.array(row, "int32")), "piece": pa.array(k, "int32"), "start": pa.array(s, "int64"),
+                "length": pa.array(n, "int64"), "ids_crc32": pa.array(crc, "int64"),
+            }
+            yield pa.RecordBatch.from_pydict(columns | ({"ids": pa.array([p.astype("int64") for p in part], pa.list_(pa.int64()))} if with_ids else {}))
 
-    return rows.mapInPandas(cut, schema)
+    return rows.mapInArrow(cut, schema)
 
 
 def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -171,20 +174,22 @@ def pack(pieces: DataFrame, capacity: int, order: tuple[str, ...] = ("id", "piec
     ranked = bucketed.withColumn("_r", rank)
     schema = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, before = table.value
         for b in batches:
-            sequence, offset = np.empty(len(b), dtype=np.int64), np.empty(len(b), dtype=np.int64)
-            lengths = b["length"].to_numpy()
-            ranks = b["_r"].to_numpy() + np.array([before[k] for k in zip(lengths, b["_b"], strict=True)], dtype=np.int64)
+            sequence, offset = np.empty(b.num_rows, dtype=np.int64), np.empty(b.num_rows, dtype=np.int64)
+            lengths = b.column("length").to_numpy()
+            bucket = b.column("_b").to_numpy()
+            ranks = b.column("_r").to_numpy() + np.array([before[k] for k in zip(lengths.tolist(), bucket.tolist(), strict=True)], dtype=np.int64)
             for length in np.unique(lengths):
                 here, run = np.flatnonzero(lengths == length), runs[int(length)]
                 k = np.searchsorted(run[:, 0], ranks[here], side="right") - 1
                 sequence[here] = run[k, 1] + ranks[here] - run[k, 0]
                 offset[here] = run[k, 2]
-            yield b.drop(columns=["_b", "_r"]).assign(sequence_id=sequence, offset=offset)
+            columns = {name: b.column(name) for name in b.schema.names if name not in ("_b", "_r")}
+            yield pa.RecordBatch.from_pydict(columns | {"sequence_id": pa.array(sequence), "offset": pa.array(offset)})
 
-    return ranked.mapInPandas(place, schema)
+    return ranked.mapInArrow(place, schema)
 
 
 def pack_documents(df: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

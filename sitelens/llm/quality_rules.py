@@ -31,15 +31,15 @@ CUTOFFS = (0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4,
 RISK, ERROR = 0.02, 0.05
 
 
-def signals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """One row per document: id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (with a word), n_marks ([!?]).
+def signals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per document: id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (with a word), n_marks ([!?]); the columns ``carry`` are passed on.
 
     3-word windows are found by a 64-bit hash with the window's position in its
     low bits: after one primitive sort, equal windows are neighbours, and
     neighbours are compared word by word. Cost is n log n in the text's words.
     """
     text = F.col("_text")
-    base = df.select(df[id_col].alias(id_col), df[stratum_col].alias("stratum"), whole(df[text_col]).alias("_text"))
+    base = df.select(df[id_col].alias(id_col), df[stratum_col].alias("stratum"), whole(df[text_col]).alias("_text"), *carry)
     base = base.withColumn("_w", words(text)).withColumn("_n", F.size("_w"))
     base = base.withColumn("_bits", F.length(F.bin(F.col("_n"))))
     at = lambda i: F.get("_w", i)
@@ -57,7 +57,7 @@ def signals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", strat
     lines = F.filter(F.split("_text", "\n"), lambda x: F.rlike(x, F.lit(f"[^{SPACE}]")))
     counted = base.withColumn("_lines", lines)
     return counted.select(
-        id_col, "stratum", F.col("_n").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
+        id_col, *carry, "stratum", F.col("_n").cast("long").alias("n_words"), F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"), F.size("_lines").cast("long").alias("n_lines"),
@@ -107,7 +107,7 @@ def thresholds(
 
 def judge(
     df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
-    rules: Sequence[tuple[str, str]] = RULES, cutoffs: Sequence[float] = CUTOFFS, risk: float = RISK, error: float = ERROR,
+    rules: Sequence[tuple[str, str]] = RULES, cutoffs: Sequence[float] = CUTOFFS, risk: float = RISK, error: float = ERROR, carry: Sequence[str] = (),
 ) -> DataFrame:
     """signals() with base_failed, kept and rejected_by (the rules at or above their cutoff), one row per input row.
 
@@ -115,7 +115,7 @@ def judge(
     stratum; documents of a stratum without certified cutoffs are kept unless
     the base rules fail them. Repeated rows are judged alike, one result each.
     """
-    signal = scratch.table(signals(df, id_col, text_col, stratum_col), "quality-signals")
+    signal = scratch.table(signals(df, id_col, text_col, stratum_col, carry), "quality-signals")
     cuts = scratch.table(thresholds(signal, labels, id_col, rules, cutoffs, risk, error), "quality-cuts")
     cuts = cuts.withColumnRenamed("stratum", "_stratum")
     out = signal.join(cuts, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,13 +22,13 @@ def token_lengths(df: DataFrame, path: str, text_col: str = "text", keep: tuple[
     rows = df.select(*(df[c].alias(c) for c in keep), df[text_col].alias("_text"))
     schema = rows.drop("_text").withColumn("n_tokens", F.lit(0).cast("long")).schema
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for b in batches:
-            b["n_tokens"] = [0 if t is None else len(encode(t)) for t in b.pop("_text")]
-            yield b
+            n = [len(encode(t.as_py() or "")) for t in b.column("_text")]
+            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in keep} | {"n_tokens": pa.array(n, "int64")})
 
-    return rows.mapInPandas(count, schema)
+    return rows.mapInArrow(count, schema)
 
 
 def length_histogram(lengths: DataFrame, by: str) -> DataFrame:
