@@ -50,4 +50,13 @@ def table(df: DataFrame, label: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete a shared table that no later step reads."""
+    jvm = df.sparkSession.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+    where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
