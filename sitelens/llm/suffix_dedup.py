@@ -33,6 +33,7 @@ from . import scratch
 MIN_LENGTH, ANCHOR = 50, 16
 SLACK = MIN_LENGTH - ANCHOR  # bytes a window may extend beyond its anchor
 WIDTH = SLACK + MIN_LENGTH
+MARK = [("number", "<i4"), ("start", "u1"), ("size", "u1"), ("doc", "<i8")]
 PAD = 0xFF  # never a byte of UTF-8
 CHUNK_BYTES, HASHES, CONTEXTS = 8 << 20, 1 << 20, 40_000
 LAST = np.iinfo(np.int64).max
@@ -46,18 +47,23 @@ def _slide(op, a: np.ndarray, width: int) -> np.ndarray:
     return op(a[: len(a) - (width - done)], a[width - done :]) if done < width else a
 
 
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = a * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h += b * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
+
+
 def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the 16-byte substrings that are smallest in some window of 50 bytes; all that tie are taken."""
     n = len(data)
     if n < MIN_LENGTH:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
     words = np.ndarray((n - 7,), dtype="<u8", buffer=data, strides=(1,)).copy()
-    h = words[:-8] * np.uint64(0x9E3779B97F4A7C15)
-    h ^= h >> np.uint64(29)
-    h += words[8:] * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
+    h = _mixed(words[:-8], words[8:])
     least = _slide(np.minimum, h, SLACK + 1)
     around = np.zeros(len(least) + 2 * SLACK, dtype=np.uint64)
     around[SLACK : SLACK + len(least)] = least
@@ -178,8 +184,22 @@ def maximal_repeats(rows: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, ..
     return context[at], start[at], np.repeat(value, n), np.repeat(smallest, n)
 
 
+def _pack(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd").compress(data, asbytes=True)
+
+
+def _unpack(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def _binary(table: pa.Table, name: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table[name].to_pylist()), dtype=kind)
+    return np.frombuffer(b"".join(_unpack(x) for x in table[name].to_pylist() if x), dtype=kind)
+
+
+def _hash(rows: np.ndarray) -> np.ndarray:
+    """The anchors' hashes of contexts, from their bytes."""
+    words = np.ascontiguousarray(rows[:, SLACK : SLACK + ANCHOR]).view("<u8")
+    return _mixed(words[:, 0], words[:, 1])
 
 
 def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,15 +246,15 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         shared = n > 1
         shared[where.ravel()[np.flatnonzero(np.concatenate(several))]] = True
         mine = np.split(shared[where.ravel()], np.cumsum([len(r) for r in rows])[:-1])
-        return pa.table({"chunk": table["chunk"], "shared": pa.array([r[m].tobytes() for r, m in zip(rows, mine, strict=True)], "binary")})
+        return pa.table({"chunk": table["chunk"], "n": pa.array([int(m.sum()) for m in mine], "int64"), "shared": pa.array([_pack(r[m].tobytes()) for r, m in zip(rows, mine, strict=True)], "binary")})
 
     sent = docs.groupBy("chunk").applyInArrow(send_hashes, "bucket long, chunk long, hashes binary, several binary")
-    shared = scratch.table(sent.groupBy("bucket").applyInArrow(find_shared, "chunk long, shared binary"), "suffix-shared")
-    anchored = (shared.agg(F.sum(F.octet_length("shared"))).first()[0] or 0) // 8
+    shared = scratch.table(sent.groupBy("bucket").applyInArrow(find_shared, "chunk long, n long, shared binary"), "suffix-shared")
+    anchored = shared.agg(F.sum("n")).first()[0] or 0
     rooms = max(partitions, math.ceil(anchored / CONTEXTS))
 
     def send_contexts(docs: pa.Table, known: pa.Table) -> pa.Table:
-        names = ("bucket", "chunk", "rows", "hashes", "least", "most", "number")
+        names = ("bucket", "chunk", "rows", "least", "most", "number")
         empty = pa.table({n: pa.array([], "binary" if n not in ("bucket", "chunk") else "int64") for n in names})
         if not docs.num_rows or not known.num_rows:
             return empty
@@ -246,15 +266,16 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         np.minimum.at(least, inverse, c.key[c.doc])
         np.maximum.at(most, inverse, c.key[c.doc])
         h = c.hash[first]
-        out = [(b, rows[k].tobytes(), h[k].tobytes(), least[k].tobytes(), most[k].tobytes(), k.astype("<i4").tobytes()) for b, k in parts(of(h, rooms))]
+        columns = (rows, least, most, np.arange(len(rows), dtype="<i4"))
+        out = [(b, *(_pack(x[k].tobytes()) for x in columns)) for b, k in parts(of(h, rooms))]
         chunk = docs["chunk"][0].as_py()
-        columns = [pa.array([x[0] for x in out], "int64"), pa.array([chunk] * len(out), "int64"), *(pa.array([x[i] for x in out], "binary") for i in range(1, 6))]
-        return pa.table(dict(zip(names, columns, strict=True)))
+        sent = [pa.array([x[0] for x in out], "int64"), pa.array([chunk] * len(out), "int64"), *(pa.array([x[i] for x in out], "binary") for i in range(1, 5))]
+        return pa.table(dict(zip(names, sent, strict=True)))
 
     def find_repeats(table: pa.Table) -> pa.Table:
-        n = [len(x) // 4 for x in table["number"].to_pylist()]
+        n = [int.from_bytes(x[:8], "little") // 4 for x in table["number"].to_pylist()]
         piece = np.repeat(np.arange(len(n)), n)
-        rows, hashes = _binary(table, "rows", "u1").reshape(-1, WIDTH), _binary(table, "hashes", "<u8")
+        rows = _binary(table, "rows", "u1").reshape(-1, WIDTH)
         least, most, number = _binary(table, "least", "<i8"), _binary(table, "most", "<i8"), _binary(table, "number", "<i4")
         _, first, kind = np.unique(np.ascontiguousarray(rows).view(f"V{WIDTH}").ravel(), return_index=True, return_inverse=True)
         kind = kind.ravel()
@@ -266,7 +287,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         whole = np.flatnonzero(length >= MIN_LENGTH)
         marks = [(whole, begin[whole], length[whole], smallest[whole])]
         # what it shares with other contexts of the same anchor
-        _, group, many = np.unique(hashes[first], return_inverse=True, return_counts=True)
+        _, group, many = np.unique(_hash(rows[first]), return_inverse=True, return_counts=True)
         some = np.flatnonzero(many[group.ravel()] > 1)
         if len(some):
             context, *rest = maximal_repeats(rows[first][some], smallest[some])
@@ -278,16 +299,18 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         k = hi - lo
         mark = np.repeat(np.arange(len(context)), k)
         entry = order[np.repeat(lo - np.append(0, np.cumsum(k)[:-1]), k) + np.arange(k.sum())]
-        use = doc[mark] < most[entry]
+        # a context whose every copy here repeats an earlier document goes whole; its other marks say no more
+        gone = (smallest[kind] < least) & ((length >= MIN_LENGTH)[kind])
+        use = np.where(gone[entry], mark < len(whole), doc[mark] < most[entry])
         mark, entry = mark[use], entry[use]
         chunk = np.array(table["chunk"].to_pylist(), dtype=np.int64)
-        out = np.empty(len(mark), dtype=[("number", "<i4"), ("start", "<i2"), ("size", "<i2"), ("doc", "<i8")])
+        out = np.empty(len(mark), dtype=MARK)
         out["number"], out["start"], out["size"], out["doc"] = number[entry], start[mark], size[mark], doc[mark]
         split = parts(piece[entry])
-        return pa.table({"chunk": pa.array([int(chunk[p]) for p, _ in split], "int64"), "marks": pa.array([out[k].tobytes() for _, k in split], "binary")})
+        return pa.table({"chunk": pa.array([int(chunk[p]) for p, _ in split], "int64"), "marks": pa.array([_pack(out[k].tobytes()) for _, k in split], "binary")})
 
-    contexts = docs.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(
-        send_contexts, "bucket long, chunk long, rows binary, hashes binary, least binary, most binary, number binary"
+    contexts = docs.groupBy("chunk").cogroup(shared.drop("n").groupBy("chunk")).applyInArrow(
+        send_contexts, "bucket long, chunk long, rows binary, least binary, most binary, number binary"
     )
     found = scratch.table(contexts.groupBy("bucket").applyInArrow(find_repeats, "chunk long, marks binary"), "suffix-marks")
 
@@ -295,9 +318,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))), ("kept", pa.binary())])
         if not docs.num_rows:
             return schema.empty_table()
-        lists = [b"".join(x for x in told[c].to_pylist() if x) for c in ("shared", "marks")]
-        c = _Chunk(docs, np.sort(np.frombuffer(lists[0], dtype="<u8")))
-        marks = np.frombuffer(lists[1], dtype=[("number", "<i4"), ("start", "<i2"), ("size", "<i2"), ("doc", "<i8")])
+        c = _Chunk(docs, np.sort(_binary(told, "shared", "<u8")))
+        marks = _binary(told, "marks", MARK)
         offset = np.cumsum([0, *(len(t) + 1 for t in c.texts)])
         steps = np.zeros(offset[-1] + 1, dtype=np.int32)
         if len(c.at) and len(marks):
