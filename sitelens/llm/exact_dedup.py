@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .text import ascii_lower
+from .text import ascii_lower, boxed, unboxed
 
 SALTS = 256
 
@@ -76,6 +76,8 @@ def exact_duplicates(
 
 def drop_exact_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: str = "min") -> DataFrame:
     """The rows whose id stays, all columns; of rows repeating an id with an equal text, one stays."""
-    stays = exact_duplicates(df, text_col, id_col, keep).filter("kept").select(F.col(id_col).alias("_stays"))
-    joined = df.join(stays.distinct(), df[id_col].eqNullSafe(F.col("_stays")), "left_semi")
-    return joined.dropDuplicates([id_col, text_col])
+    stays = exact_duplicates(df, text_col, id_col, keep).filter("kept").select(F.col(id_col).alias("_stays"), F.col("text_sha256").alias("_sha"))
+    text = ascii_lower(F.col("row")[text_col])
+    rows = boxed(df).select("row", F.col("row")[id_col].alias("_id"), F.sha2(text, 256).alias("_h"))
+    met = rows.join(stays.distinct(), rows["_id"].eqNullSafe(F.col("_stays")) & (F.col("_h") == F.col("_sha")))
+    return unboxed(met.dropDuplicates(["_id", "_h"]), df.columns)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .spread import components, lookup
+from .text import boxed, unboxed
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 TOKENS, LEAF, LEVELS, BRANCHES = 64, 256, 6, 2
@@ -296,13 +297,14 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``df`` with one document of each class: the one whose id is the class's smallest, of rows that repeat that id one.
 
-    Documents without words all stay. Columns are those of ``df``; names that
-    start with an underscore are not to be used for _stays and _th.
+    Documents without words all stay, rows that repeat both id and text as one.
     """
     groups = jaccard_groups(df, id_col, text_col, threshold, recall)
     heads = groups.filter("set_key is not null").filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select("class_id", F.col("set_key"), "th")
     heads = heads.groupBy("class_id").agg(F.min("th").alias("_th")).select(F.col("class_id").alias("_stays"), "_th")
     bare = groups.filter("set_key is null").select(F.col(id_col).alias("_stays"), F.col("th").alias("_th")).distinct()
     stays = heads.unionByName(bare)
-    met = df.join(stays, df[id_col].eqNullSafe(F.col("_stays")) & (F.xxhash64(df[text_col]) == F.col("_th")))
-    return met.drop("_stays").dropDuplicates([id_col, "_th"]).drop("_th")
+    columns = df.columns
+    rows = boxed(df).select("row", F.col("row")[id_col].alias("_id"), F.xxhash64(F.col("row")[text_col]).alias("_h"))
+    met = rows.join(stays, rows["_id"].eqNullSafe(F.col("_stays")) & (F.col("_h") == F.col("_th")))
+    return unboxed(met.dropDuplicates(["_id", "_h"]), columns)

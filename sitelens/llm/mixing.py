@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import scratch
+from .text import boxed, unboxed
 
 
 def capped_targets(sources: DataFrame, share: float, cap: float) -> DataFrame:
@@ -76,7 +77,7 @@ def mix(
 ) -> DataFrame:
     """What the mix takes of each document.
 
-    ``sized``: id, source, size and any other columns except those below.
+    ``sized``: id, source, size and any other columns; those named like an added one are replaced.
     ``weights``: source, weight, one row per source. Adds source_size, target,
     start (the document's place in its source's seeded order, in words) and
     taken. Sources are matched null-safely. A document without words takes 0;
@@ -85,7 +86,8 @@ def mix(
     last block of a source may cut a document; quotas never exceed the cap.
     A hot source is laid out in 256 hash stretches, each summed by its own task.
     """
-    sized = sized.withColumn("size", F.coalesce("size", F.lit(0)).cast("long"))
+    columns = sized.columns
+    sized = boxed(sized).select("row", F.col("row")[id_col].alias("_id"), F.col("row")["source"].alias("source"), F.coalesce(F.col("row")["size"], F.lit(0)).cast("long").alias("size"))
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     weights = weights.select(F.col("source").alias("_source"), "weight")
     sources = totals.join(weights, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -96,7 +98,7 @@ def mix(
         F.col("source").alias("_source"), "source_size", "target",
         F.least(F.coalesce("_q", F.lit(0)), F.floor(F.lit(cap) * F.col("source_size"))).cast("long").alias("_q"),
     )
-    laid = sized.withColumn("_k", _key(seed, id_col)).withColumn("_b", F.substring("_k", 1, 2))
+    laid = sized.withColumn("_k", _key(seed, "_id")).withColumn("_b", F.substring("_k", 1, 2))
     stretch = laid.groupBy("source", "_b").agg(F.sum("size").alias("_sum"))
     offset = F.sum("_sum").over(W.partitionBy("source").orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_sum")
     stretch = stretch.withColumn("_o", offset).join(plan, F.col("source").eqNullSafe(F.col("_source")))
@@ -107,7 +109,7 @@ def mix(
     passes = F.floor(F.col("_q") / F.col("source_size"))
     rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_q") % F.col("source_size") - F.col("start")))
     taken = F.when(F.col("source_size") > 0, passes * F.col("size") + rest).otherwise(0).cast("long")
-    return out.withColumn("taken", taken).drop("_k", "_b", "_bb", "_in", "_o", "_q", "_source")
+    return unboxed(out, columns, size=F.col("size"), source_size=F.col("source_size"), target=F.col("target"), start=F.col("start"), taken=taken)
 
 
 def cyclic_weights(sized: DataFrame, cycle: tuple[int, ...] = (3, 1, 2)) -> DataFrame:

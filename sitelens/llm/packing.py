@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from . import scratch
+from .text import boxed, unboxed
 from .tokens import encoder
 
 BUCKETS = 4096
@@ -145,7 +146,9 @@ def pack(pieces: DataFrame, capacity: int, order: tuple[str, ...] = ("id", "piec
     interchangeable. The driver holds one number per length and per bucket
     (at most capacity + 4096) and the plan, never pieces. No pieces: no rows.
     """
-    spark = pieces.sparkSession
+    spark, names = pieces.sparkSession, pieces.columns
+    pieces = boxed(pieces).select("row", F.col("row")["length"].alias("length"), *(F.col("row")[c].alias(f"_o{k}") for k, c in enumerate(order)))
+    order = tuple(f"_o{k}" for k in range(len(order)))
     counts = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_packing(counts, capacity)
     all_ = max(1, sum(counts.values()))
@@ -172,7 +175,8 @@ def pack(pieces: DataFrame, capacity: int, order: tuple[str, ...] = ("id", "piec
     table = spark.sparkContext.broadcast(({k: np.array(v, dtype=np.int64) for k, v in runs.items()}, before))
     rank = F.row_number().over(W.partitionBy("length", "_b").orderBy(*order)) - 1
     ranked = bucketed.withColumn("_r", rank)
-    schema = pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
+    ranked = ranked.select("row", "length", "_b", "_r")
+    schema = pieces.select("row").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, before = table.value
@@ -186,10 +190,9 @@ def pack(pieces: DataFrame, capacity: int, order: tuple[str, ...] = ("id", "piec
                 k = np.searchsorted(run[:, 0], ranks[here], side="right") - 1
                 sequence[here] = run[k, 1] + ranks[here] - run[k, 0]
                 offset[here] = run[k, 2]
-            columns = {name: b.column(name) for name in b.schema.names if name not in ("_b", "_r")}
-            yield pa.RecordBatch.from_pydict(columns | {"sequence_id": pa.array(sequence), "offset": pa.array(offset)})
+            yield pa.RecordBatch.from_pydict({"row": b.column("row"), "sequence_id": pa.array(sequence), "offset": pa.array(offset)})
 
-    return ranked.mapInArrow(place, schema)
+    return unboxed(ranked.mapInArrow(place, schema), names, sequence_id=F.col("sequence_id"), offset=F.col("offset"))
 
 
 def pack_documents(df: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

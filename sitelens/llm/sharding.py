@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .text import boxed, unboxed
+
 LAW = "rows"
 BUCKET_BYTES = 16 << 20
 
@@ -31,7 +33,7 @@ def fisher_yates(n: int, seed: tuple[int, ...]) -> np.ndarray:
 def shuffle_records(
     df: DataFrame, shards: int = 8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES
 ) -> DataFrame:
-    """All columns of ``df`` with shard (int) and slot (long, gapless from 0).
+    """All columns of ``df`` with shard (int) and slot (long, gapless from 0), which replace columns of these names.
 
     Records are scattered by a hash of id and text, so null or repeated ids do
     not gather in one bucket. Runs agree: a bucket is ordered by that hash,
@@ -39,11 +41,11 @@ def shuffle_records(
     but for their other columns. Bucket counts and their running sums stay in
     DataFrames. An empty table gives an empty result.
     """
-    taken = {c.lower() for c in df.columns} & {"_h", "_bucket", "_total", "_before", "shard", "slot"}
-    if taken:
-        raise ValueError(f"rename the columns {sorted(taken)}")
-    h = F.xxhash64(F.lit(seed), df[id_col], df[text_col])
-    sizes = df.agg(F.count("*").alias("n"), F.sum(F.octet_length(df[text_col])).alias("b")).first()
+    columns = df.columns
+    df = boxed(df)
+    text = F.col("row")[text_col]
+    h = F.xxhash64(F.lit(seed), F.col("row")[id_col], text)
+    sizes = df.agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("b")).first()
     total = sizes["n"]
     buckets = max(1, math.ceil((sizes["b"] or 0) / bucket_bytes), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     bucket = F.pmod(h, F.lit(buckets)).cast("long")
@@ -54,15 +56,14 @@ def shuffle_records(
     groups = counts.groupBy("_g").agg(F.sum("n").alias("_gn"))
     ahead = F.sum("_gn").over(W.orderBy("_g").rowsBetween(W.unboundedPreceding, 0)) - F.col("_gn")
     before = counts.withColumn("_in", inside).join(groups.withColumn("_ahead", ahead), "_g").select("_bucket", (F.col("_in") + F.col("_ahead")).alias("_before"))
-    records = df.withColumn("_h", h).withColumn("_bucket", bucket)
+    records = df.withColumns({"_h": h, "_bucket": bucket, "_id": F.col("row")[id_col]})
     schema = df.withColumn("shard", F.lit(0)).withColumn("slot", F.lit(0).cast("long")).schema
-    names = df.columns
 
     def permute(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         start = right["_before"][0].as_py()
-        left = left.take(pa.compute.sort_indices(left, sort_keys=[("_h", "ascending"), (id_col, "ascending")]))
+        left = left.take(pa.compute.sort_indices(left, sort_keys=[("_h", "ascending"), ("_id", "ascending")]))
         order = fisher_yates(left.num_rows, (seed, int(key[0].as_py())))
-        out = left.select(names).take(pa.array(order))
+        out = left.select(["row"]).take(pa.array(order))
         place = np.arange(start, start + left.num_rows, dtype=object if total > 1 << 59 else np.int64)
         shard = ((place + 1) * shards - 1) // total
         slot = place - total * shard // shards
@@ -70,7 +71,8 @@ def shuffle_records(
         return out.append_column("slot", pa.array(slot.astype("int64")))
 
 
-    return records.groupBy("_bucket").cogroup(before.groupBy("_bucket")).applyInArrow(permute, schema)
+    out = records.groupBy("_bucket").cogroup(before.groupBy("_bucket")).applyInArrow(permute, schema)
+    return unboxed(out, columns, shard=F.col("shard"), slot=F.col("slot"))
 
 
 def write_shards(df: DataFrame, path: str, shards: int = 8, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> None:

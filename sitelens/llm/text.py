@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "\\x20\\x09-\\x0D"
@@ -29,3 +29,15 @@ def words(text: Column) -> Column:
     """Those runs as an array without nulls."""
     bare = F.btrim(whole(text), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"[{SPACE}]+"))
+
+
+def boxed(df: DataFrame) -> DataFrame:
+    """All columns as one struct ``row``, so that no name of theirs can clash with a working column."""
+    return df.select(F.struct(*(df[c] for c in df.columns)).alias("row"))
+
+
+def unboxed(df: DataFrame, columns: list[str], **added: Column) -> DataFrame:
+    """The boxed columns again and ``added``; a boxed column with the name of an added one is replaced in place."""
+    new = {name.lower(): c.alias(name) for name, c in added.items()}
+    kept = [new.pop(c.lower(), F.col("row")[c].alias(c)) for c in columns]
+    return df.select(*kept, *new.values())
