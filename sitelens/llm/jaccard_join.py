@@ -4,7 +4,8 @@ Documents are sets of five-word shingles. Equal sets form one class. Each class
 is embedded as 64 MinHash tokens; in every run a node of the recursion samples
 two of them and a set follows the branch of each, so sets that share tokens meet
 again. Buckets of at most 256 sets are leaves and compared by brute force;
-larger ones are split on, to at most six levels. A pair at the threshold s meets
+larger ones are split on, to at most six levels, unless over half of a bucket
+took the same branch: then its sets are alike and more sampling can't part them. A pair at the threshold s meets
 in a run with probability at least q, the fixed point of q = 1 - (1 - s q)^2;
 runs repeat until 1 - (1 - q)^runs reaches the target recall. What meets is
 estimated from all 64 tokens and linked loosely; inside the groups this gives,
@@ -157,19 +158,19 @@ def _leaves(classes: DataFrame, runs: int) -> DataFrame:
                 for run in range(runs):
                     for c in _node(run, 0):
                         path = _branch(np.uint64(run + 1), int(c), t[:, c]).view(np.int64)
-                        yield pd.DataFrame({"path": path, "run": run, "set_key": b["set_key"]})
+                        yield pd.DataFrame({"path": path, "run": run, "up": 1 << 62, "set_key": b["set_key"]})
 
     def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
                 t, out = _tokens(b["tokens"]), []
-                for (run, path), at in b.groupby(["run", "path"]).indices.items():
+                for (run, path, size), at in b.groupby(["run", "path", "size"]).indices.items():
                     for c in _node(int(run), int(path)):
                         new = _branch(np.uint64(int(path) % 2**64), int(c), t[at, c]).view(np.int64)
-                        out.append(pd.DataFrame({"path": new, "run": run, "set_key": b["set_key"].to_numpy()[at]}))
+                        out.append(pd.DataFrame({"path": new, "run": run, "up": size, "set_key": b["set_key"].to_numpy()[at]}))
                 yield pd.concat(out)
 
-    schema = "path long, run int, set_key binary"
+    schema = "path long, run int, up long, set_key binary"
     level = classes.select("set_key", "tokens").mapInPandas(start, schema)
     leaves, members = [], None
     for depth in range(1, LEVELS + 1):
@@ -178,12 +179,12 @@ def _leaves(classes: DataFrame, runs: int) -> DataFrame:
         sized = scratch.table(lookup(level, "path", "set_key", sizes), "paths-met")
         if members is None:
             members = scratch.table(classes.join(sized.select("set_key").distinct(), "set_key"), "path-members").select("set_key", "tokens")
-        big = (F.col("size") > LEAF) & F.lit(depth < LEVELS)
+        big = (F.col("size") > LEAF) & (F.col("size") * 2 <= F.col("up")) & F.lit(depth < LEVELS)
         leaves.append(sized.filter(~big))
         wide = sized.filter(big)
         if depth == LEVELS or wide.isEmpty():
             break
-        level = lookup(wide, "set_key", "path", members).select("path", "run", "set_key", "tokens").mapInPandas(follow, schema)
+        level = lookup(wide, "set_key", "path", members).select("path", "run", "size", "set_key", "tokens").mapInPandas(follow, schema)
     out = leaves[0]
     for more in leaves[1:]:
         out = out.unionByName(more)
@@ -258,7 +259,8 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     grouped = grouped.join(classes.drop("tokens"), F.col("v") == F.col("set_key")).select("set_key", "root", "blocks", F.col("copy_id").alias("rep"), "copies")
     grouped = scratch.table(grouped, "jaccard-groups")
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    texts = grouped.join(docs, F.col("rep").eqNullSafe(F.col("id")))
+    # sort-merge at every size: the texts' side is never the one to broadcast, and small inputs then behave as large ones
+    texts = docs.join(grouped.hint("merge"), F.col("rep").eqNullSafe(F.col("id")))
     own = F.pmod(F.xxhash64("set_key"), F.col("blocks"))
     dealt = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_key", "copies", "text")
