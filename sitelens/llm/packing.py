@@ -56,7 +56,16 @@ def token_pieces(df: DataFrame, path: str, capacity: int, id_col: str = "doc_id"
 
 
 def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence, how many such sequences) that use up all ``counts`` (length to number)."""
+    """(lengths of a sequence, how many such sequences) that use up all ``counts`` (length to number).
+
+    Gaps are filled by sums of up to three pieces, of two, or by best fit alone;
+    the plan with the fewest sequences is taken, the first on ties.
+    """
+    plans = [_plan(counts, capacity, parts) for parts in (3, 2, 0)]
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
+def _plan(counts: dict[int, int], capacity: int, parts: int) -> list[tuple[tuple[int, ...], int]]:
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -66,22 +75,24 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int,
         left[capacity] = 0
 
     def pair(gap: int) -> tuple[int, int] | None:
-        """The available pair summing to gap that has the longest part; a pair of equals needs two."""
+        """The available pair summing to gap with the most even parts, so short pieces stay for later; a pair of equals needs two."""
         a = np.arange(1, gap // 2 + 1)
         ok = (left[a] > 0) & (left[gap - a] > 0)
         if gap % 2 == 0 and gap and left[gap // 2] < 2:
             ok[-1] = False
         found = np.flatnonzero(ok)
-        return (gap - int(a[found[0]]), int(a[found[0]])) if len(found) else None
+        return (gap - int(a[found[-1]]), int(a[found[-1]])) if len(found) else None
 
     def complement(gap: int) -> tuple[int, ...] | None:
-        if gap <= 0:
+        if gap <= 0 or not parts:
             return None
         if left[gap] > 0:
             return (gap,)
         if two := pair(gap):
             return two
-        for third in np.flatnonzero(left[1 : gap // 3 + 1] > 0) + 1:
+        if parts < 3:
+            return None
+        for third in (np.flatnonzero(left[1 : gap // 3 + 1] > 0) + 1)[::-1]:
             left[third] -= 1
             two = pair(gap - int(third))
             left[third] += 1
