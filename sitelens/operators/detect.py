@@ -112,26 +112,19 @@ def entity_identity(pages: DataFrame) -> DataFrame:
     stem of four characters). The groups hold distinct names, not pages.
     """
 
-    def family(b: pd.DataFrame) -> pd.DataFrame:
+    def family(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.assign(key=[normal_name(n) for n in b["name"]])
         b = b[b["key"] != ""].sort_values(["key", "name"]).groupby("key", as_index=False).agg(name=("name", "first"), slots=("slots", lambda s: len({x for y in s for x in y})), pages=("pages", "sum"))
         keys = list(b["key"])
         if len(keys) < 2:
-            return pd.DataFrame({"site_id": [], "n": [], "page": []})
+            return pd.DataFrame({"site_id": [], "n": [], "page": []}, dtype=object).astype({"n": "int64"})
         ratio = lambda x, y: SequenceMatcher(None, x, y).ratio()
         score = [(sum(ratio(k, o) for o in keys if o != k), s, p, -len(k)) for k, s, p in zip(keys, b["slots"], b["pages"], strict=True)]
         best = keys[max(range(len(keys)), key=lambda i: score[i])]
         near = [k for k in keys if k != best and (ratio(best, k) >= 0.5 or best[:4] == k[:4])]
-        return pd.DataFrame({"site_id": [site], "n": [len(near) + 1], "page": [best]})
+        return pd.DataFrame({"site_id": [key[0]], "n": [len(near) + 1], "page": [best]})
 
-    site = None
-
-    def keyed(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        nonlocal site
-        site = key[0]
-        return family(b)
-
-    groups = site_names(pages).groupBy("site_id").applyInPandas(keyed, "site_id string, n long, page string").filter("n >= 3")
+    groups = site_names(pages).groupBy("site_id").applyInPandas(family, "site_id string, n long, page string").filter("n >= 3")
     return groups.select("site_id", F.lit("entity_identity").alias("category"), F.lit("high").alias("severity"), "n", "page")
 
 

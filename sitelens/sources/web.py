@@ -146,9 +146,12 @@ def fetch_table(urls: DataFrame, fetch: Callable[[str], Answer] = http_fetch, in
     return sited.repartition("site_id").sortWithinPartitions("site_id", "seq").mapInPandas(work, SCHEMA)
 
 
-def capture(spark: SparkSession, root: str) -> DataFrame:
-    """Pages of a capture: one folder a site with _capture.json and page files, read by Spark alone."""
-    meta = spark.read.option("multiLine", True).json(f"{root}/*/_capture.json")
+def capture(spark: SparkSession, root: str, meta: str = "capture.json") -> DataFrame:
+    """Pages of a capture: one folder a site with its record ``meta`` and page files, read by Spark alone.
+
+    Spark's readers skip names that start with an underscore; records so named need another name first.
+    """
+    meta = spark.read.option("multiLine", True).json(f"{root}/*/{meta}")
     pages = meta.select("slug", F.explode("pages").alias("p")).select("slug", "p.file", F.col("p.final_url").alias("url"), F.col("p.status").alias("status_code"), F.col("p.content_type").alias("content_type"), F.col("p.is_entry").alias("is_entry"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").load(root)
     files = files.select(F.regexp_extract("path", "([^/]+)/([^/]+)$", 1).alias("slug"), F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.decode("content", "UTF-8").alias("html"))
