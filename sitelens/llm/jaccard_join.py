@@ -270,7 +270,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         b = b.assign(sets=[shingles(t) for t in b["text"]])
         b = b[[_digest(s) == k for s, k in zip(b["sets"], b["set_key"], strict=True)]].drop_duplicates("set_key").sort_values("set_key")
         if b.empty:
-            return pd.DataFrame({"a": [], "b": [], "links": []}).astype({"links": "int64"})
+            return pd.DataFrame({"a": [], "b": [], "links": []}, dtype=object).astype({"links": "int64"})
         keys, sizes = b["set_key"].to_numpy(), np.array([len(s) for s in b["sets"]], dtype=np.float64)
         common = _common(list(b["sets"]))
         linked = common * part >= whole * (sizes[:, None] + sizes[None, :] - common)
