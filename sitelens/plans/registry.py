@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_PLANS = ("pages", "documents", "compose", "scoring", "gate", "access", "dom", "evidence", "live")
+_PLANS = ("pages", "documents", "compose", "scoring", "gate", "access", "dom", "evidence", "reports", "live")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
