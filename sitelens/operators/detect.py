@@ -7,7 +7,6 @@ measured count) and page (the page to cite).
 
 from __future__ import annotations
 
-import re
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -15,10 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .names import normal
 
-_SUFFIXES = frozenset(
-    "inc llc ltd limited corp corporation co plc gmbh ag sa bv srl sl pvt pte nv llp lp kk oy oyj ab aps pty ptyltd coltd sarl spa kg cokg holding holdings".split()
-)
 IDENTITY_SLOTS = (
     "json-ld name", "json-ld legalName", "json-ld alternateName", "og:site_name", "footer copyright", "body 'Welcome to'", "body 'formerly'",
     "body 'division of'", "'About' heading",
@@ -87,17 +84,6 @@ def engagement(pages: DataFrame) -> DataFrame:
     return s.select("site_id", F.lit("engagement").alias("category"), F.lit("high").alias("severity"), "n", "page")
 
 
-def normal_name(name: str) -> str:
-    """Lower case, without possessives, punctuation and legal suffixes of up to three trailing tokens."""
-    text = re.sub(r"[^\w\s&]", " ", re.sub(r"['’]s\b", "", " ".join(name.split()).lower()))
-    tokens = text.split()
-    while True:
-        size = next((k for k in (3, 2, 1) if len(tokens) > k and "".join(tokens[-k:]) in _SUFFIXES), 0)
-        if not size:
-            return " ".join(tokens)
-        del tokens[-size:]
-
-
 def site_names(pages: DataFrame) -> DataFrame:
     """Distinct names per site with slots, pages and the first spelling: site_id, name, slots, pages."""
     n = pages.select("site_id", "page_id", F.explode("names").alias("x")).select("site_id", "page_id", "x.*").filter(F.length("name").between(3, 60) & F.col("slot").isin(*IDENTITY_SLOTS))
@@ -113,7 +99,7 @@ def entity_identity(pages: DataFrame) -> DataFrame:
     """
 
     def family(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.assign(key=[normal_name(n) for n in b["name"]])
+        b = b.assign(key=[normal(n) for n in b["name"]])
         b = b[b["key"] != ""].sort_values(["key", "name"]).groupby("key", as_index=False).agg(name=("name", "first"), slots=("slots", lambda s: len({x for y in s for x in y})), pages=("pages", "sum"))
         keys = list(b["key"])
         if len(keys) < 2:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sitelens.functions import text as T
 from sitelens.functions import urls as U
 from sitelens.operators import detect as D
-from sitelens.operators import dom
+from sitelens.operators import dom, names
 from sitelens.plans.pages import templates, with_entry
 
 FILL = "<p>" + "plain prose about the workshop and its tools " * 12 + "</p>"
@@ -73,8 +73,13 @@ def test_parser_on_awkward_markup():
 
 
 def test_names():
-    assert D.normal_name("Kettle's Works, L.L.C.") == "kettle works"
-    assert D.normal_name("Inc") == "inc"
+    assert names.normal("Kettle's Works, L.L.C.") == "kettle works" and names.normal("Inc") == "inc"
+    body = "Welcome to Kettle House. It was formerly Pan Works. See the list. © 2019-2026 Kettle Ltd. All rights reserved"
+    got = names.identity_names("About - Kettle", {"og:title": "The thing"}, [(1, "Welcome to Kettle"), (2, "About Kettle")], [{"@type": "Product", "name": "Tea"}, {"@type": "NGO", "name": ["Ket Tle"]}], body)
+    assert dict((s, n) for n, s in got) == {
+        "title": "Kettle", "h1": "Kettle", "json-ld name": "Ket Tle", "footer copyright": "Kettle Ltd", "body 'Welcome to'": "Kettle House",
+        "body 'formerly'": "Pan Works", "'About' heading": "Kettle",
+    }
 
 
 def test_url_expressions(spark):
