@@ -48,11 +48,12 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     """
     each = W.partitionBy("scope", "value")
     upto = each.orderBy("n_tokens").rowsBetween(W.unboundedPreceding, 0)
-    over = each.orderBy("n_tokens").rowsBetween(1, W.unboundedFollowing)
     n = F.col("n_docs")
+    # a suffix sum is the total less the running sum: one pass, where a frame to the end would be quadratic
+    docs, tokens = F.sum(n).over(each), F.sum(n * F.col("n_tokens")).over(each)
     out = histogram.select(
-        "*", F.sum(n).over(upto).alias("docs_upto"), F.coalesce(F.sum(n).over(over), F.lit(0)).alias("docs_over"),
-        F.sum(n * F.col("n_tokens")).over(each).alias("tokens_all"), F.coalesce(F.sum(n * F.col("n_tokens")).over(over), F.lit(0)).alias("_over"),
+        "*", F.sum(n).over(upto).alias("docs_upto"), (docs - F.sum(n).over(upto)).alias("docs_over"),
+        tokens.alias("tokens_all"), (tokens - F.sum(n * F.col("n_tokens")).over(upto)).alias("_over"),
     )
     cut = F.col("_over") - F.col("docs_over") * F.col("n_tokens")
     share = F.col("docs_upto") / (F.col("docs_upto") + F.col("docs_over"))
