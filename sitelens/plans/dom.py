@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..operators import adjudicate as A
 from ..operators import detect as D
 from ..operators import dom
 from .pages import with_entry
@@ -49,3 +50,9 @@ def section_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf blocks of pages and how many pages of a site have each."""
     f = dom.page_features(table(spark, sf_dir, "pages")).select(U.host(F.col("url")).alias("site_id"), "page_id", F.explode(F.array_distinct("blocks")).alias("b"))
     return f.filter(F.length("b") >= 40).groupBy("site_id", F.substring(F.sha2("b", 256), 1, 16).alias("digest")).agg(F.count("*").alias("pages"))
+
+
+@query()
+def adjudicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three-valued labels of every site from the same parse."""
+    return A.labels(A.site_measurements(parsed(table(spark, sf_dir, "pages")), 2026))

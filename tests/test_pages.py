@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import text as T
 from sitelens.functions import urls as U
+from sitelens.operators import adjudicate as A
 from sitelens.operators import detect as D
 from sitelens.operators import dom, names
 from sitelens.plans.pages import templates, with_entry
@@ -105,3 +106,14 @@ def test_years_and_quotes(spark):
     df = spark.createDataFrame([("In 1999 and 2024, not 12024 or 2050.",), (None,)], "t string")
     assert df.select(T.years(F.col("t"))).first()[0] == [1999, 2024]
     assert df.select(T.numbers(F.col("t"))).collect()[1][0] == []
+
+
+def test_adjudicator(spark):
+    rows = [(i, f"https://{host}/", html) for i, (host, html) in enumerate(SITES.items())]
+    pages = with_entry(dom.page_features(spark.createDataFrame(rows, "page_id long, url string, html string"))).withColumnRenamed("site", "site_id").cache()
+    got = {(r.site_id, r.category): r.label for r in A.labels(A.site_measurements(pages, 2026)).collect()}
+    assert got["broken.test", "structured_data"] == "yes" and got["healthy.test", "structured_data"] == "no"
+    assert got["shell.test", "rendering"] == "yes" and got["hidden.test", "crawlability"] == "yes" and got["images.test", "non_text_facts"] == "yes"
+    assert got["stuck.test", "engagement"] == "yes" and got["old.test", "freshness"] == "yes" and got["names.test", "entity_identity"] == "yes"
+    flags = D.all_findings(pages, 2026)
+    assert all(r.disagree == 0 for r in A.agreement(A.labels(A.site_measurements(pages, 2026)), flags).collect() if r.category != "entity_identity")
