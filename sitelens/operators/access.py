@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import urls as U
 from ..functions import vocabulary as V
+from ..llm import scratch
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:
@@ -106,17 +107,22 @@ def sitemap_inventory(docs: DataFrame, entries: DataFrame, documents: int = 6, u
     return kept.select("site_id", "page", "rank")
 
 
-def bfs_depth(links: DataFrame, entries: DataFrame, max_depth: int) -> DataFrame:
+def bfs_depth(links: DataFrame, entries: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Distance from the entry over a link graph (site_id, src, dst): site_id, node, depth.
 
     One join a level; nodes reached before are dropped by an anti join, so each
-    node is expanded once. ``max_depth`` bounds the loop and the plan.
+    node is expanded once. A level is a shared table, and without ``max_depth``
+    the loop ends at the first level that adds nothing.
     """
-    edges = links.select("site_id", F.col("src").alias("node"), "dst").distinct()
-    reached = frontier = entries.select("site_id", "node", F.lit(0).alias("depth"))
-    for depth in range(1, max_depth + 1):
+    edges = scratch.table(links.select("site_id", F.col("src").alias("node"), "dst").distinct(), "bfs-edges")
+    reached = frontier = scratch.table(entries.select("site_id", "node", F.lit(0).alias("depth")), "bfs-level")
+    depth = 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = frontier.join(edges, ["site_id", "node"]).select("site_id", F.col("dst").alias("node")).distinct()
-        frontier = step.join(reached, ["site_id", "node"], "left_anti").withColumn("depth", F.lit(depth))
+        frontier = scratch.table(step.join(reached, ["site_id", "node"], "left_anti").withColumn("depth", F.lit(depth)), "bfs-level")
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
     return reached
 

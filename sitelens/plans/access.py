@@ -78,11 +78,11 @@ _LINKS = f"""l as (select distinct {HOST} as site_id, case when {PATH} = '' then
 @query(f"""with recursive {_LINKS}, b as (select site_id, node, 0 as depth from e union all select b.site_id, l.dst, depth + 1 from b join l on l.site_id = b.site_id and l.src = b.node where depth < 3)
     select site_id, node, min(depth)::int as depth from b group by all""")
 def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Link distance from a site's entry, three levels."""
+    """Link distance from a site's entry, all levels; the SQL stops at three."""
     pages = with_entry(table(spark, sf_dir, "pages"))
     place = F.when(U.path(F.col("url")) == "", "/").otherwise(U.path(F.col("url")))
     links = pages.select(F.col("site").alias("site_id"), place.alias("src"), F.explode(T.hrefs(F.col("html"))).alias("dst")).filter(F.col("dst").startswith("/"))
-    return A.bfs_depth(links, pages.filter("is_entry").select(F.col("site").alias("site_id"), place.alias("node")), 3)
+    return A.bfs_depth(links, pages.filter("is_entry").select(F.col("site").alias("site_id"), place.alias("node")))
 
 
 @query("""with p as (select user_id as site_id, case event_type when 'error' then 429 when 'signup' then 403 else 200 end as s from events)

@@ -183,13 +183,17 @@ def url_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", U.local_path(url).alias("local_path"), U.slug(url).alias("slug"), U.report_name(url).alias("name"))
 
 
-def templates(urls: DataFrame, depth: int) -> DataFrame:
+def templates(urls: DataFrame, depth: int | None = None) -> DataFrame:
     """A path template per (site, url), inferred level by level from the siblings under the template so far.
 
+    Without ``depth``, all levels that the URLs have, found by one aggregate.
+
     One aggregate and join per level; the rows of a level are distinct (site,
     prefix, segment), so sites with many pages meet pre-aggregated.
     """
     out = urls.withColumn("_s", U.segments(F.col("url"))).withColumn("prefix", F.lit(""))
+    if depth is None:
+        depth = out.agg(F.max(F.size("_s"))).first()[0] or 0
     for level in range(depth):
         seg = F.get("_s", F.lit(level))
         here = out.withColumn("_seg", seg)
@@ -222,9 +226,9 @@ _TEMPLATES = f"{_levels(4)}, t as (select page_id, site, plen, case when prefix
 
 @query(f"with {_TEMPLATES} select site, template, count(*) as pages from t group by all")
 def url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X1 A1 A2, four levels deep."""
+    """X1 A1 A2, all levels; the SQL unrolls four."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", U.host(F.col("url")).alias("site"))
-    return templates(pages, 4).groupBy("site", "template").agg(F.count("*").alias("pages"))
+    return templates(pages).groupBy("site", "template").agg(F.count("*").alias("pages"))
 
 
 @query(f"with {_TEMPLATES} select page_id, site, template, row_number() over (partition by site, template order by plen, page_id)::int as turn from t")
@@ -232,7 +236,7 @@ def stratified_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Round-robin over templates, shallowest first: the crawl order is (turn, template)."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", U.host(F.col("url")).alias("site"))
     turn = F.row_number().over(W.partitionBy("site", "template").orderBy(F.length(U.path(F.col("url"))), "page_id"))
-    return templates(pages, 4).select("page_id", "site", "template", turn.alias("turn"))
+    return templates(pages).select("page_id", "site", "template", turn.alias("turn"))
 
 
 @query(f"""select site, count(*) as pages, sha256('v1' || chr(0) || string_agg(row, chr(0) order by row) || chr(0)) as snapshot from (
