@@ -117,18 +117,25 @@ def quotes_found(quotes: DataFrame, texts: DataFrame, words: int = 8) -> DataFra
 
     Texts are met through their ``words``-word shingles: a quote is looked up by
     its first shingle only, so a text sends one row per distinct shingle and
-    never meets quotes it can't hold; quotes under ``words`` words are not looked
-    up. The match itself is then checked on the whole strings. Rows: quote_id,
-    text_id.
+    never meets quotes it can't hold; quotes under ``words`` words are looked up
+    by shingles of their own length, one pass for each length that occurs. The
+    match itself is then checked on the whole strings. Rows: quote_id, text_id.
     """
-    def shingle_at(w: Column, i: Column) -> Column:
-        return F.xxhash64(F.slice(w, i, words))
-
-    q = quotes.select("quote_id", T.quote_form(F.col("quote")).alias("q")).withColumn("w", F.split("q", " ")).filter(F.size("w") >= words)
-    q = q.select("quote_id", "q", shingle_at(F.col("w"), F.lit(1)).alias("h"))
-    t = texts.select("text_id", F.split(T.quote_form(F.col("text")), " ").alias("w")).filter(F.size("w") >= words)
-    heads = t.select("text_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: shingle_at(F.col("w"), i)))).alias("h"))
-    pairs = heads.join(q.select("h", "quote_id"), "h").select("text_id", "quote_id").distinct()
+    def shingle_at(w: Column, i: Column, k: int | Column) -> Column:
+        return F.xxhash64(F.slice(w, i, k))
+
+    def shingles_of(w: Column, k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: shingle_at(w, i, k))
+
+    q = quotes.select("quote_id", T.quote_form(F.col("quote")).alias("q")).filter("q <> ''").withColumn("w", F.split("q", " "))
+    q = q.withColumn("k", F.least(F.size("w"), F.lit(words))).select("quote_id", "q", "k", shingle_at(F.col("w"), F.lit(1), F.col("k")).alias("h"))
+    t = texts.select("text_id", F.split(T.quote_form(F.col("text")), " ").alias("w"))
+    heads = None
+    for k in sorted(r.k for r in q.select("k").distinct().collect()) or [words]:
+        found = F.array_distinct(shingles_of(F.col("w"), k))
+        one = t.filter(F.size("w") >= k).select("text_id", F.lit(k).alias("k"), F.explode(found).alias("h"))
+        heads = one if heads is None else heads.unionByName(one)
+    pairs = heads.join(q.select("k", "h", "quote_id"), ["k", "h"]).select("text_id", "quote_id").distinct()
     met = pairs.join(q.select("quote_id", "q"), "quote_id").join(texts, "text_id")
     return met.filter(F.instr(T.quote_form(F.col("text")), F.col("q")) > 0).select("quote_id", "text_id")
 
