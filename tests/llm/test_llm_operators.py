@@ -147,7 +147,6 @@ def test_pack_keeps_clashing_columns(spark):
 def test_line_dedup(docs, empty):
     out = line_dedup.dedup_lines(docs)
     assert out.columns == [*docs.columns, "n_lines", "n_removed", "removed_lines"]
-    pattern = re.compile(line_dedup._PATTERN.replace("\\x20", " "))
     order = lambda d: -1 if d is None else d
     where = defaultdict(list)
     hashes = {(r.doc_id, r.text): r.th for r in docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")).collect()}
@@ -156,7 +155,7 @@ def test_line_dedup(docs, empty):
             if line.strip(WS):
                 where[line].append((order(d), hashes[d, t], p))
     lines = list(where)
-    sets = [frozenset(m.group(1) for m in pattern.finditer(x)) for x in lines]
+    sets = [frozenset(x[i : i + 12] for i in range(max(1, len(x) - 11))) for x in lines]
     root = list(range(len(lines)))
 
     def find(i):
