@@ -35,15 +35,17 @@ v as (select *, max(case when not capped and source_size::double / weight = cut
     max(case when not capped and source_size::double / weight = cut then weights end) over () as lw from l),
 t as (select source, source_size, case when capped then 2::double * source_size else weight * lr / lw end as target from v),
 m as (select floor(sum(target) / 32 + 0.5)::bigint as blocks from t),
-k as (select source, row_number() over (order by target / (2 * i - 1) desc, source nulls last, i) as rank
+k as (select source, i, row_number() over (order by target / (2 * i - 1) desc, source nulls last, i) as rank
   from t, range(1, (select blocks from m) + 1) as g(i) where target > 0 and i <= target / 32 + (select count(*) from t) + 2),
 w as (select source, 32 * count(*) as words from k where rank <= (select blocks from m) group by source),
 p as (select t.*, least(coalesce(words, 0), 2 * source_size)::bigint as q from t left join w on t.source is not distinct from w.source),
 o as (select *, sum(size) over (partition by source order by md5('42:' || doc_id), size rows unbounded preceding) - size as start from d)
 select doc_id, size, source_size, target,
   (case when source_size > 0 then q // source_size * size + greatest(0, least(size, q % source_size - start)) else 0 end)::bigint as taken,
-  o.source, start::bigint as start
-from o join p on o.source is not distinct from p.source
+  o.source, start::bigint as start,
+  case when size > 0 and start < q then start // 32 end::bigint as block,
+  case when size > 0 and start < q then (select count(*) from range(1, 9) as h(h) where (select blocks from m) * h // 8 < k.rank) end::int as shard
+from o join p on o.source is not distinct from p.source left join k on k.source is not distinct from o.source and k.i = start // 32 + 1
 """
 
 _SIGNALS = """
@@ -60,18 +62,19 @@ _SIGNALS = """
 """
 
 _OP5 = "with" + _SIGNALS + """
-  cuts as (select unnest([0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.6, 0.75, 1.0])::double as cut),
-  v as (select doc_id, stratum, unnest(['symbols', 'dup_lines', 'repeats', 'marks']) as rule,
-      unnest([n_symbols / word_chars, n_dup_lines / n_lines, n_repeat_words / n_words, n_marks / n_words])::double as value from b where not base_failed),
+  cuts as (select unnest(range(1, 9)) as level, unnest([0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05, 0.02])::double as symbols,
+      unnest([0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3])::double as dup_lines, unnest([0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15])::double as repeats,
+      unnest([0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2])::double as marks),
+  hit as (select doc_id, stratum, level, n_symbols::double / word_chars >= symbols or n_dup_lines::double / n_lines >= dup_lines
+      or n_repeat_words::double / n_words >= repeats or n_marks::double / n_words >= marks as bad from b, cuts where not base_failed),
   good as (select distinct doc_id from labels where quality = 1),
-  held as (select * from v semi join good using (doc_id)),
-  counts as (select stratum, rule, cut, count(*)::bigint as n, count(*) filter (value >= cut)::bigint as k from held, cuts group by all),
-  passed as (select stratum, rule, min(cut) as cut from counts
-    where k < n * 0.005 and list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.005) + (n - i) * ln(0.995))))
-      <= 0.05 / (4 * 16 * (select count(distinct coalesce(stratum, '')) from counts)) group by all),
-  bad as (select distinct doc_id from v join passed on v.rule = passed.rule and v.stratum is not distinct from passed.stratum where value >= passed.cut)
+  counts as (select stratum, level, count(*)::bigint as n, count(*) filter (bad)::bigint as k from hit semi join good using (doc_id) group by all),
+  tested as (select *, k < n * 0.02 and list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.02) + (n - i) * ln(0.98))))
+      <= 0.05 * n / (select sum(n) from counts where level = 1) as passed from counts),
+  used as (select stratum, coalesce(min(level) filter (not passed), 9) - 1 as level from tested group by stratum),
+  gone as (select doc_id from hit join used on hit.level = used.level and hit.stratum is not distinct from used.stratum where bad)
 select doc_id, n_words, coalesce(word_chars, 0) as word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and doc_id not in (select doc_id from bad) as kept from b
+  not base_failed and doc_id not in (select doc_id from gone) as kept from b
 """
 
 ORACLES: dict[str, str] = {

@@ -1,17 +1,21 @@
 """Quality rules with risk-controlled thresholds, DataFrame code only.
 
-Signals of every whole text are computed once. On labelled documents, every
-(stratum, rule, cutoff) is tested with an exact binomial test: at true false
-rejection rate ``risk / rules``, how likely are so few good documents at or
-above the cutoff? A cutoff counts when that stays under ``error`` divided by
-the number of all tests (Bonferroni), so with probability ``1 - error`` no
-stratum loses more than ``risk`` of its good documents to all rules together.
-Of the cutoffs that count, the lowest is used.
+Signals of every whole text are computed once. Each rule has one cutoff per
+level, from lenient to strict, so the levels are nested. On labelled documents,
+a stratum's levels are tested in that fixed order with an exact binomial test:
+at a true false rejection rate of ``risk`` by all rules together, how likely are
+so few rejected good documents? The first level that fails ends the sequence,
+which therefore needs no correction inside a stratum; across strata ``error`` is
+shared in proportion to their good documents (weighted Bonferroni). So with
+probability ``1 - error`` no stratum loses more than ``risk`` of its good
+documents, and the strictest level before the first failure is used.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,23 +24,24 @@ from pyspark.sql import Window as W
 from . import scratch
 from .text import SPACE, whole, words
 
-#: Each rule: a signal that is worse the higher it is, as (name, expression over the columns of signals()).
+#: Each rule: a signal that is worse the higher it is, as (name, expression over the columns of signals(), cutoffs by level, lenient first).
 RULES = (
-    ("symbols", "n_symbols / word_chars"),
-    ("dup_lines", "n_dup_lines / n_lines"),
-    ("repeats", "n_repeat_words / n_words"),
-    ("marks", "n_marks / n_words"),
+    ("symbols", "try_divide(n_symbols, word_chars)", (0.5, 0.4, 0.3, 0.2, 0.15, 0.1, 0.05, 0.02)),
+    ("dup_lines", "try_divide(n_dup_lines, n_lines)", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3)),
+    ("repeats", "try_divide(n_repeat_words, n_words)", (0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15)),
+    ("marks", "try_divide(n_marks, n_words)", (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2)),
 )
-CUTOFFS = (0.01, 0.02, 0.03, 0.05, 0.075, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.6, 0.75, 1.0)
 RISK, ERROR = 0.02, 0.05
+Rule = tuple[str, str, Sequence[float]]
 
 
 def signals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", carry: Sequence[str] = ()) -> DataFrame:
     """One row per document: id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (with a word), n_marks ([!?]); the columns ``carry`` are passed on.
 
     3-word windows are found by a 64-bit hash with the window's position in its
-    low bits: after one primitive sort, equal windows are neighbours, and
-    neighbours are compared word by word. Cost is n log n in the text's words.
+    low bits: after one primitive sort, equal windows are neighbours, also where
+    a window of equal hash stands between them, and neighbours are compared word
+    by word. Cost is n log n in the text's words.
     """
     text = F.col("_text")
     base = df.select(df[id_col].alias(id_col), df[stratum_col].alias("stratum"), whole(df[text_col]).alias("_text"), *carry)
@@ -51,7 +56,8 @@ def signals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", strat
     prefix = lambda x: F.call_function("shiftrightunsigned", x, F.col("_bits"))
     place = lambda x: (x - F.call_function("shiftleft", prefix(x), F.col("_bits"))).cast("int")
     alike = lambda x, y: (prefix(x) == prefix(y)) & (at(place(x)) == at(place(y))) & (at(place(x) + 1) == at(place(y) + 1)) & (at(place(x) + 2) == at(place(y) + 2))
-    near = lambda x, j: F.coalesce(alike(x, F.get("_sorted", j + 1)), F.lit(False)) | F.coalesce(alike(x, F.get("_sorted", j - 1)), F.lit(False))
+    beside = lambda x, j: F.coalesce(alike(x, F.get("_sorted", j)), F.lit(False))
+    near = lambda x, j: beside(x, j + 1) | beside(x, j - 1) | beside(x, j + 2) | beside(x, j - 2)
     base = base.withColumn("_twice", F.transform(F.filter("_sorted", near), place))
     covered = F.size(F.array_distinct(F.flatten(F.transform("_twice", lambda p: F.array(p, p + 1, p + 2)))))
     lines = F.filter(F.split("_text", "\n"), lambda x: F.rlike(x, F.lit(f"[^{SPACE}]")))
@@ -84,41 +90,47 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
 
 
 def thresholds(
-    signal: DataFrame, labels: DataFrame, id_col: str = "doc_id", rules: Sequence[tuple[str, str]] = RULES,
-    cutoffs: Sequence[float] = CUTOFFS, risk: float = RISK, error: float = ERROR,
+    signal: DataFrame, labels: DataFrame, id_col: str = "doc_id", rules: Sequence[Rule] = RULES, risk: float = RISK, error: float = ERROR,
 ) -> DataFrame:
-    """Certified cutoffs: stratum and one nullable double per rule (null: none counts, the rule rejects nobody there).
+    """Certified level of each stratum: stratum, level (1 the most lenient; null: none) and one nullable cutoff per rule.
 
     ``labels``: id, quality (1 good). A document with several labels is good if
-    any says so; null ids and qualities are left out. One row per stratum.
+    any says so; null ids and qualities are left out. One row per stratum with
+    good documents. A stratum needs about log(its error) / log(1 - risk) of them
+    to certify anything, 150 for the only stratum, more if it shares the error.
     """
+    levels = len(rules[0][2])
+    if any(len(cuts) != levels or list(cuts) != sorted(cuts, reverse=True) for *_, cuts in rules):
+        raise ValueError("every rule needs one cutoff per level, lenient (high) first")
     good = labels.filter(F.col("quality") == 1).select(labels[id_col].alias("_l")).distinct()
     held = signal.filter(~base_failed()).join(good, F.col(id_col) == F.col("_l"), "left_semi")
-    above = [F.count_if(F.expr(e) >= c).alias(f"{name}_{i}") for name, e in rules for i, c in enumerate(cutoffs)]
-    counts = held.groupBy("stratum").agg(F.count("*").alias("_n"), *above)
-    listed = F.array(*(
-        F.struct(F.lit(name).alias("rule"), F.lit(float(c)).alias("cut"), F.col(f"{name}_{i}").alias("k")) for name, _ in rules for i, c in enumerate(cutoffs)
-    ))
-    tests = counts.select("stratum", "_n", F.count("*").over(W.partitionBy()).alias("_strata"), F.explode(listed).alias("t"))
-    certain = binomial_cdf(F.col("t.k"), F.col("_n"), risk / len(rules)) <= F.lit(error / len(rules) / len(cutoffs)) / F.col("_strata")
-    lowest = [F.min(F.when(F.col("_ok") & (F.col("t.rule") == name), F.col("t.cut"))).alias(f"cut_{name}") for name, _ in rules]
-    return tests.withColumn("_ok", certain).groupBy("stratum").agg(*lowest)
+    hits = lambda i: reduce(or_, (F.coalesce(F.expr(e) >= F.lit(float(cuts[i])), F.lit(False)) for _, e, cuts in rules))
+    counts = held.groupBy("stratum").agg(F.count("*").alias("_n"), *(F.count_if(hits(i)).alias(f"_k{i}") for i in range(levels)))
+    # one row per stratum from here on
+    listed = F.array(*(F.struct(F.lit(i + 1).alias("level"), F.col(f"_k{i}").alias("k")) for i in range(levels)))
+    counts = counts.withColumn("_all", F.sum("_n").over(W.partitionBy()))
+    tests = counts.select("stratum", "_n", "_all", F.explode(listed).alias("t"))
+    failed = binomial_cdf(F.col("t.k"), F.col("_n"), risk) > F.lit(error) * F.col("_n") / F.col("_all")
+    first = F.coalesce(F.min(F.when(failed, F.col("t.level"))), F.lit(levels + 1))
+    passed = tests.groupBy("stratum").agg(F.when(first > 1, first - 1).alias("level"))
+    cut = lambda cuts: F.when(F.col("level").isNotNull(), F.get(F.array(*(F.lit(float(c)) for c in cuts)), F.col("level") - 1))
+    return passed.select("stratum", "level", *(cut(cuts).alias(f"cut_{name}") for name, _, cuts in rules))
 
 
 def judge(
     df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang",
-    rules: Sequence[tuple[str, str]] = RULES, cutoffs: Sequence[float] = CUTOFFS, risk: float = RISK, error: float = ERROR, carry: Sequence[str] = (),
+    rules: Sequence[Rule] = RULES, risk: float = RISK, error: float = ERROR, carry: Sequence[str] = (),
 ) -> DataFrame:
-    """signals() with base_failed, kept and rejected_by (the rules at or above their cutoff), one row per input row.
+    """signals() with level, cutoffs, base_failed, kept and rejected_by (the rules at or above their cutoff), one row per input row.
 
     Null texts have no words and fail the base rules; a null stratum is one more
-    stratum; documents of a stratum without certified cutoffs are kept unless
+    stratum; documents of a stratum without a certified level are kept unless
     the base rules fail them. Repeated rows are judged alike, one result each.
     """
     signal = scratch.table(signals(df, id_col, text_col, stratum_col, carry), "quality-signals")
-    cuts = scratch.table(thresholds(signal, labels, id_col, rules, cutoffs, risk, error), "quality-cuts")
+    cuts = scratch.table(thresholds(signal, labels, id_col, rules, risk, error), "quality-cuts")
     cuts = cuts.withColumnRenamed("stratum", "_stratum")
     out = signal.join(cuts, F.col("stratum").eqNullSafe(F.col("_stratum")), "left")
-    hit = F.array_compact(F.array(*(F.when(F.expr(e) >= F.col(f"cut_{name}"), F.lit(name)) for name, e in rules)))
+    hit = F.array_compact(F.array(*(F.when(F.expr(e) >= F.col(f"cut_{name}"), F.lit(name)) for name, e, _ in rules)))
     out = out.withColumn("base_failed", base_failed()).withColumn("rejected_by", hit)
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("_stratum")
