@@ -2,9 +2,11 @@
 
 The mix is cut into blocks of equally many words. Blocks go to sources by
 highest quotients target / (2 k - 1), for every prefix of the shards, which is
-house monotone, so each shard has an integer quota. Inside a source, documents
-lie in a seeded order; its blocks are the stretches of that order, whole passes
-first, and a document's share is what its own stretch has in the taken blocks.
+house monotone, so each shard has an integer quota of every source's blocks.
+Inside a source, documents lie in a seeded order, whole passes first; its blocks
+are the stretches of that order, the first ones go to the first shard and so on
+up to each shard's quota, and a document's share is what its own stretch has in
+the blocks taken.
 """
 
 from __future__ import annotations
@@ -79,8 +81,9 @@ def mix(
 
     ``sized``: id, source, size and any other columns; those named like an added one are replaced.
     ``weights``: source, weight, one row per source. Adds source_size, target,
-    start (the document's place in its source's seeded order, in words) and
-    taken. Sources are matched null-safely. A document without words takes 0;
+    start (the document's place in its source's seeded order, in words), taken,
+    block (of its source, where its first taken word lies) and shard (that block's;
+    both null where nothing is taken). Sources are matched null-safely. A document without words takes 0;
     sources without words have target 0. Rows that repeat an id follow each
     other by size. A null size counts as 0, a null id as the text "null". The
     last block of a source may cut a document; quotas never exceed the cap.
@@ -93,23 +96,30 @@ def mix(
     sources = totals.join(weights, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     targets = scratch.table(capped_targets(sources, share, cap), "mix-targets")
     quotas = scratch.table(shard_quotas(targets, block, shards), "mix-quotas")
-    words = quotas.groupBy(F.col("source").alias("_s")).agg((F.sum("quota") * block).alias("_q"))
+    # per source the end of each shard's blocks, in shard order
+    ends = F.sort_array(F.collect_list(F.struct("shard", (F.col("first") + F.col("quota")).alias("end"))))
+    words = quotas.groupBy(F.col("source").alias("_s")).agg((F.sum("quota") * block).alias("_q"), F.transform(ends, lambda x: x["end"]).alias("_ends"))
     plan = targets.join(words, F.col("source").eqNullSafe(F.col("_s")), "left").select(
         F.col("source").alias("_source"), "source_size", "target",
-        F.least(F.coalesce("_q", F.lit(0)), F.floor(F.lit(cap) * F.col("source_size"))).cast("long").alias("_q"),
+        F.least(F.coalesce("_q", F.lit(0)), F.floor(F.lit(cap) * F.col("source_size"))).cast("long").alias("_q"), "_ends",
     )
     laid = sized.withColumn("_k", _key(seed, "_id")).withColumn("_b", F.substring("_k", 1, 2))
     stretch = laid.groupBy("source", "_b").agg(F.sum("size").alias("_sum"))
     offset = F.sum("_sum").over(W.partitionBy("source").orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_sum")
     stretch = stretch.withColumn("_o", offset).join(plan, F.col("source").eqNullSafe(F.col("_source")))
-    stretch = stretch.select(F.col("source").alias("_source"), F.col("_b").alias("_bb"), "_o", "source_size", "target", "_q")
+    stretch = stretch.select(F.col("source").alias("_source"), F.col("_b").alias("_bb"), "_o", "source_size", "target", "_q", "_ends")
     inside = F.sum("size").over(W.partitionBy("source", "_b").orderBy("_k", "size").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     out = laid.withColumn("_in", inside).join(stretch, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_b") == F.col("_bb")))
     out = out.withColumn("start", F.col("_o") + F.col("_in"))
     passes = F.floor(F.col("_q") / F.col("source_size"))
     rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_q") % F.col("source_size") - F.col("start")))
     taken = F.when(F.col("source_size") > 0, passes * F.col("size") + rest).otherwise(0).cast("long")
-    return unboxed(out, columns, size=F.col("size"), source_size=F.col("source_size"), target=F.col("target"), start=F.col("start"), taken=taken)
+    used = (F.col("size") > 0) & (F.col("start") < F.col("_q"))
+    at = F.when(used, F.floor(F.col("start") / block)).cast("long")
+    shard = F.when(used, F.size(F.filter("_ends", lambda end: end <= F.floor(F.col("start") / block))))
+    return unboxed(
+        out, columns, size=F.col("size"), source_size=F.col("source_size"), target=F.col("target"), start=F.col("start"), taken=taken, block=at, shard=shard,
+    )
 
 
 def cyclic_weights(sized: DataFrame, cycle: tuple[int, ...] = (3, 1, 2)) -> DataFrame:

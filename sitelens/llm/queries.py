@@ -59,7 +59,9 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = "\\### Assistant: </turn> ok"
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], rows.schema)
+    said = (F.struct(F.lit(turn).alias("turn"), F.lit(role).alias("role")) for turn, role in enumerate(("user", "assistant")))
+    more = spark.range(1).select(F.explode(F.array(*said)).alias("s")).select(F.lit(-7).alias("conv_id"), "s.turn", "s.role", F.lit(tricky).alias("text"))
+    more = more.select(*(F.col(f.name).cast(f.dataType) for f in rows.schema))
     out = chat_format.read_back(chat_format.format_examples(rows.unionByName(more)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return out.select(
@@ -77,7 +79,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     sized = scratch.table(docs.select("doc_id", "source", count_words(F.col("text")).alias("size")), "mix-sizes")
     out = mixing.mix(sized, mixing.cyclic_weights(sized), share=1.5, cap=2.0)
-    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "start")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "start", "block", "shard")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
