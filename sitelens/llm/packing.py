@@ -55,17 +55,71 @@ def token_pieces(df: DataFrame, path: str, capacity: int, id_col: str = "doc_id"
     return rows.mapInArrow(cut, schema)
 
 
+class _Sums:
+    """Index of the sums of one, two and three lengths that occur, up to ``most``.
+
+    ``pairs[s]``: larger parts of the pairs with sum s, the most even pair first;
+    ``triples[s]``: smallest parts whose rest of s is such a pair, the largest
+    first. At most most^2 / 4 entries each. Lookups consult the counts left.
+    """
+
+    def __init__(self, left: np.ndarray, most: int) -> None:
+        self.left = left
+        lengths = np.flatnonzero(left[: most + 1])
+        a, b = np.meshgrid(lengths, lengths, indexing="ij")
+        ok = (a >= b) & (a + b <= most)
+        a, b = a[ok], b[ok]
+        order = np.lexsort((a, a + b))
+        sums, large = (a + b)[order], a[order]
+        self.pairs = self._lists(sums, large, most)
+        some = np.flatnonzero([len(p) > 0 for p in self.pairs])
+        c, s = np.meshgrid(lengths, some, indexing="ij")
+        # the pair's smaller part is at most half of its sum, and c at most that
+        ok = (c + s <= most) & (2 * c <= s)
+        c, s = c[ok], s[ok]
+        order = np.lexsort((-c, c + s))
+        self.triples = self._lists((c + s)[order], c[order], most)
+
+    @staticmethod
+    def _lists(keys: np.ndarray, values: np.ndarray, most: int) -> list[np.ndarray]:
+        return np.split(values, np.searchsorted(keys, np.arange(1, most + 1)))[: most + 1]
+
+    def pair(self, total: int) -> tuple[int, int] | None:
+        large = self.pairs[total]
+        small = total - large
+        ok = (self.left[large] > 0) & (self.left[small] > (large == small))
+        found = np.flatnonzero(ok)
+        return (int(large[found[0]]), int(small[found[0]])) if len(found) else None
+
+    def complement(self, gap: int, parts: int) -> tuple[int, ...] | None:
+        """``parts`` available lengths that fill ``gap`` exactly: of two the most even, of three with the largest smallest one."""
+        if parts == 1:
+            return (gap,) if self.left[gap] > 0 else None
+        if parts == 2:
+            return self.pair(gap)
+        for third in self.triples[gap][self.left[self.triples[gap]] > 0].tolist():
+            self.left[third] -= 1
+            two = self.pair(gap - third)
+            self.left[third] += 1
+            if two:
+                return (*two, third)
+        return None
+
+
 def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, how many such sequences) that use up all ``counts`` (length to number).
 
-    Gaps are filled by sums of up to three pieces, of two, or by best fit alone;
-    the plan with the fewest sequences is taken, the first on ties.
+    From the longest length down, gaps are filled exactly by single lengths, then
+    what is left by indexed sums of two, then of three, as often as the counts
+    allow; the rest goes best fit, longest first. Where exact sums use up the
+    short pieces (many lengths, each rare), fewer of them need fewer sequences:
+    the plan with the fewest is taken, that with all sums on ties.
     """
-    plans = [_plan(counts, capacity, parts) for parts in (3, 2, 0)]
-    return min(plans, key=lambda plan: sum(n for _, n in plan))
+    return min((_plan(counts, capacity, parts) for parts in (3, 2, 0)), key=lambda plan: sum(n for _, n in plan))
 
 
-def _plan(counts: dict[int, int], capacity: int, parts: int) -> list[tuple[tuple[int, ...], int]]:
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """The plan with sums of up to ``most`` lengths."""
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -73,49 +127,22 @@ def _plan(counts: dict[int, int], capacity: int, parts: int) -> list[tuple[tuple
     if left[capacity]:
         plan.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-
-    def pair(gap: int) -> tuple[int, int] | None:
-        """The available pair summing to gap with the most even parts, so short pieces stay for later; a pair of equals needs two."""
-        a = np.arange(1, gap // 2 + 1)
-        ok = (left[a] > 0) & (left[gap - a] > 0)
-        if gap % 2 == 0 and gap and left[gap // 2] < 2:
-            ok[-1] = False
-        found = np.flatnonzero(ok)
-        return (gap - int(a[found[-1]]), int(a[found[-1]])) if len(found) else None
-
-    def complement(gap: int) -> tuple[int, ...] | None:
-        if gap <= 0 or not parts:
-            return None
-        if left[gap] > 0:
-            return (gap,)
-        if two := pair(gap):
-            return two
-        if parts < 3:
-            return None
-        for third in (np.flatnonzero(left[1 : gap // 3 + 1] > 0) + 1)[::-1]:
-            left[third] -= 1
-            two = pair(gap - int(third))
-            left[third] += 1
-            if two:
-                return (*two, int(third))
-        return None
-
-    rest: list[tuple[int, int]] = []
-    for length in range(capacity - 1, 0, -1):
-        while left[length] > 0:
-            left[length] -= 1
-            more = complement(capacity - length)
-            left[length] += 1
-            if more is None:
-                rest.append((length, int(left[length])))
-                left[length] = 0
-                break
-            whole = (length, *more)
-            need = {x: whole.count(x) for x in whole}
-            times = min(int(left[x]) // n for x, n in need.items())
-            for x, n in need.items():
-                left[x] -= n * times
-            plan.append((whole, times))
+    sums = _Sums(left, capacity - 1) if most else None
+    for parts in range(1, most + 1):
+        for length in range(capacity - 1, 0, -1):
+            while left[length] > 0:
+                left[length] -= 1
+                more = sums.complement(capacity - length, parts)
+                left[length] += 1
+                if more is None:
+                    break
+                whole = (length, *more)
+                need = {x: whole.count(x) for x in whole}
+                times = min(int(left[x]) // n for x, n in need.items())
+                for x, n in need.items():
+                    left[x] -= n * times
+                plan.append((whole, times))
+    rest = [(int(length), int(left[length])) for length in np.flatnonzero(left)[::-1]]
 
     # best fit: groups of open sequences by gap, each (lengths so far, number)
     open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
@@ -207,6 +234,12 @@ def pack(pieces: DataFrame, capacity: int, order: tuple[str, ...] = ("id", "piec
 
 
 def pack_documents(df: DataFrame, path: str, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenise once into a shared table of pieces, then pack: id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Tokenise once into a shared table of pieces, then pack: id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null or empty text is one piece, the end id. Null and repeated ids are
+    packed like others, each row its own pieces; pieces that tie in id and piece
+    are interchangeable. An empty table gives an empty result; other columns are
+    ignored, so none can clash.
+    """
     pieces = scratch.table(token_pieces(df, path, capacity, id_col, text_col), "pack-pieces")
     return pack(pieces, capacity).withColumnRenamed("id", id_col)
