@@ -252,15 +252,16 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     sketches = scratch.table(sketch(df, id_col, text_col), "jaccard-sketches")
     some = sketches.filter("set_key is not null")
-    classes = scratch.table(some.groupBy("set_key").agg(F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.first("tokens").alias("tokens")), "jaccard-classes")
+    classes = scratch.table(some.groupBy("set_key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("rep"), F.count("*").alias("copies"), F.first("tokens").alias("tokens")).withColumn("copy_id", F.col("rep.id")), "jaccard-classes")
     loose = components(_loose_links(_leaves(classes, runs_for(recall, threshold))), "loose")
     sizes = loose.groupBy("root").agg(F.count("*").alias("n")).filter("n > 1")
     grouped = lookup(loose, "root", "v", sizes).withColumn("blocks", F.ceil(F.col("n") / LEAF))
-    grouped = grouped.join(classes.drop("tokens"), F.col("v") == F.col("set_key")).select("set_key", "root", "blocks", F.col("copy_id").alias("rep"), "copies")
+    grouped = grouped.join(classes.drop("tokens"), F.col("v") == F.col("set_key")).select("set_key", "root", "blocks", F.col("rep.id").alias("rep"), F.col("rep.th").alias("rep_th"), "copies")
     grouped = scratch.table(grouped, "jaccard-groups")
-    docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    # one row of each class brings its text, found by id and text hash; rows that repeat both stand for one
+    docs = df.select(df[id_col].alias("id"), F.xxhash64(df[text_col]).alias("th"), df[text_col].alias("text"))
     # sort-merge at every size: the texts' side is never the one to broadcast, and small inputs then behave as large ones
-    texts = docs.join(grouped.hint("merge"), F.col("rep").eqNullSafe(F.col("id")))
+    texts = docs.join(grouped.hint("merge"), F.col("rep").eqNullSafe(F.col("id")) & (F.col("rep_th") == F.col("th"))).dropDuplicates(["set_key"])
     own = F.pmod(F.xxhash64("set_key"), F.col("blocks"))
     dealt = texts.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_key", "copies", "text")
@@ -284,7 +285,7 @@ def jaccard_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     met = scratch.table(dealt.groupBy("root", "i", "j").applyInPandas(exact, "a binary, b binary, links long"), "jaccard-links")
     links = met.groupBy(F.col("a").alias("set_key")).agg(F.sum("links").alias("links"))
     joined = components(met.select("a", "b"), "jaccard").select(F.col("v").alias("set_key"), "root")
-    about = classes.drop("tokens").join(links, "set_key", "left").join(joined, "set_key", "left")
+    about = classes.drop("tokens", "rep").join(links, "set_key", "left").join(joined, "set_key", "left")
     about = scratch.table(about.select("set_key", "copy_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "set_key").alias("root")), "jaccard-about")
     heads = about.groupBy("root").agg(F.min("copy_id").alias("class_id"), F.sum("copies").alias("class_size"))
     final = lookup(about, "root", "set_key", heads)
