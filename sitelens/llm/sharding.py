@@ -36,9 +36,9 @@ def shuffle_records(
     """All columns of ``df`` with shard (int) and slot (long, gapless from 0), which replace columns of these names.
 
     Records are scattered by a hash of id and text, so null or repeated ids do
-    not gather in one bucket. Runs agree: a bucket is ordered by that hash,
-    id and text before it is permuted; rows equal in both are interchangeable
-    but for their other columns. Bucket counts and their running sums stay in
+    not gather in one bucket. Runs agree: a bucket is ordered by that hash
+    and the id before it is permuted; rows that tie are interchangeable but for
+    their other columns. Bucket counts and their running sums stay in
     DataFrames. An empty table gives an empty result.
     """
     columns = df.columns

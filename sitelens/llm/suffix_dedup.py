@@ -35,7 +35,7 @@ SLACK = MIN_LENGTH - ANCHOR  # bytes a window may extend beyond its anchor
 WIDTH = SLACK + MIN_LENGTH
 MARK = [("number", "<i4"), ("start", "u1"), ("size", "u1"), ("doc", "<i8")]
 PAD = 0xFF  # never a byte of UTF-8
-CHUNK_BYTES, HASHES, CONTEXTS = 8 << 20, 1 << 20, 40_000
+CHUNK_BYTES, HASHES, CONTEXTS, SLICE = 8 << 20, 1 << 20, 40_000, 1 << 18
 LAST = np.iinfo(np.int64).max
 
 
@@ -99,10 +99,21 @@ class _Chunk:
         data = np.frombuffer(gap + gap.join(self.texts) + gap, dtype=np.uint8)
         start = np.cumsum([WIDTH, *(len(t) + WIDTH for t in self.texts)])[: len(self.texts)]
         g = start[self.doc] + self.at if len(self.at) else np.empty(0, dtype=np.int64)
-        rows = data[g[:, None] + np.arange(-SLACK, MIN_LENGTH)[None, :]]
         # a context stops at its document's end even where the gap is shorter than it
-        _, first, inverse = np.unique(np.ascontiguousarray(rows).view(f"V{WIDTH}").ravel(), return_index=True, return_inverse=True)
-        return rows[first], first, inverse.ravel()
+        every = np.lib.stride_tricks.sliding_window_view(data, WIDTH)
+        # in slices, so that a run of one byte, an anchor at each place, costs its distinct contexts
+        found, seen = [], []
+        for at in range(0, len(g), SLICE):
+            rows = np.ascontiguousarray(every[g[at : at + SLICE] - SLACK])
+            _, first, inverse = np.unique(rows.view(f"V{WIDTH}").ravel(), return_index=True, return_inverse=True)
+            found.append((rows[first], first + at))
+            seen.append(inverse.ravel())
+        if not found:
+            return np.empty((0, WIDTH), dtype=np.uint8), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        rows, places = np.concatenate([r for r, _ in found]), np.concatenate([p for _, p in found])
+        _, first, inverse = np.unique(rows.view(f"V{WIDTH}").ravel(), return_index=True, return_inverse=True)
+        offsets = np.cumsum([0, *(len(r) for r, _ in found)])
+        return rows[first], places[first], np.concatenate([inverse.ravel()[s + o] for s, o in zip(seen, offsets[:-1], strict=True)])
 
 
 def _ranked(rows: np.ndarray, size: int) -> np.ndarray:

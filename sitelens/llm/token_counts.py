@@ -18,21 +18,32 @@ from .tokens import encoder
 
 
 def token_lengths(df: DataFrame, path: str, text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """n_tokens (long) per row beside the columns ``keep``; a null text has none."""
-    rows = df.select(*(df[c].alias(c) for c in keep), df[text_col].alias("_text"))
-    schema = rows.drop("_text").withColumn("n_tokens", F.lit(0).cast("long")).schema
+    """n_tokens (long) per row beside the columns ``keep``; a null or empty text has none.
+
+    Every row counts, repeated ones too; whole texts of any length are encoded.
+    A kept column named n_tokens gives way to the count. An empty table gives an
+    empty result; columns not kept are ignored.
+    """
+    keep = tuple(c for c in keep if c != "n_tokens")
+    held = F.struct(F.lit(0).alias("_"), *(df[c].alias(c) for c in keep)).alias("row")
+    rows = df.select(held, df[text_col].alias("text"))
+    schema = rows.select("row").withColumn("n_tokens", F.lit(0).cast("long")).schema
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for b in batches:
-            n = [len(encode(t.as_py() or "")) for t in b.column("_text")]
-            yield pa.RecordBatch.from_pydict({c: b.column(c) for c in keep} | {"n_tokens": pa.array(n, "int64")})
+            n = [len(encode(t.as_py() or "")) for t in b.column("text")]
+            yield pa.RecordBatch.from_pydict({"row": b.column("row"), "n_tokens": pa.array(n, "int64")})
 
-    return rows.mapInArrow(count, schema)
+    return rows.mapInArrow(count, schema).select(*(F.col("row")[c].alias(c) for c in keep), "n_tokens")
 
 
 def length_histogram(lengths: DataFrame, by: str) -> DataFrame:
-    """Documents per length for each value of ``by`` and, as scope "all", for all: scope, value, n_tokens, n_docs."""
+    """Documents per length for each value of ``by`` and, as scope "all", for all: scope, value, n_tokens, n_docs.
+
+    A null value is a value of its own; an empty table has no rows. Grouped
+    map-side, so a value with a third of all documents sends only its lengths.
+    """
     some = lengths.groupBy(F.lit(by).alias("scope"), F.col(by).cast("string").alias("value"), "n_tokens").agg(F.count("*").alias("n_docs"))
     both = F.array(F.struct("scope", "value"), F.struct(F.lit("all").alias("scope"), F.lit(None).cast("string").alias("value")))
     spread = some.withColumn("s", F.explode(both))
@@ -45,6 +56,7 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     docs_upto, docs_over (documents of at most and of more than L tokens),
     tokens_all, tokens_cut (tokens lost by truncation to L), tokens_kept
     (truncated total) and quantile (share of documents of at most L tokens).
+    Documents that tie in length are one row; an empty histogram stays empty.
     """
     each = W.partitionBy("scope", "value")
     upto = each.orderBy("n_tokens").rowsBetween(W.unboundedPreceding, 0)

@@ -240,6 +240,21 @@ def test_binomial_and_thresholds(spark):
     assert quality_rules.judge(df.limit(50), labels.limit(0)).filter("kept").count() == 50
 
 
+def test_levels_are_certified_in_order_and_reject(spark):
+    # 500 good documents of each language, 2 of them with a few symbols; the strictest level would reject those 2 only
+    docs = [(i, " ".join(f"w{i}x{k}" for k in range(60)) + " ####" * (30 if i % 10 == 9 else 2 * (i in (0, 1000))), "en" if i < 1000 else "de") for i in range(2000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 10 != 9)) for i in range(2000)], "doc_id long, quality int")
+    judged = quality_rules.judge(df, labels)
+    assert {tuple(r) for r in judged.select("stratum", "level", "cut_symbols").distinct().collect()} == {("en", 8, 0.02), ("de", 8, 0.02)}
+    rejected = judged.filter("not kept and not base_failed")
+    assert rejected.filter("doc_id % 10 = 9 and array_contains(rejected_by, 'symbols')").count() == 200 and rejected.count() <= 202
+    # more risk than the labels bear out: 12 of 450 good ones above every cutoff
+    noisy = [(i, t + (" " + "#" * 700 if i % 80 == 0 else ""), lang) for i, t, lang in docs]
+    judged = quality_rules.judge(spark.createDataFrame(noisy, "doc_id long, text string, lang string"), labels)
+    assert {tuple(r) for r in judged.select("level", "cut_symbols").distinct().collect()} == {(None, None)}
+
+
 # -- sharding -------------------------------------------------------------------
 
 
@@ -415,3 +430,18 @@ def test_shard_quotas_are_house_monotone(spark):
         total[r.source] += r.quota
     want = brute_quotas(targets, 141)
     assert +total == +want
+
+
+def test_jaccard_meets_texts_by_id_and_hash(spark):
+    """Near pairs under null and repeated ids: every class brings one text, not one per row of the id."""
+    base = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(40)]
+    rows = [(None if k % 2 else 7, t + end) for k, t in enumerate(base) for end in ("", " tail")]
+    rows += rows[:6]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = jaccard_join.jaccard_groups(df).collect()
+    assert len(out) == len(rows)
+    by_set = defaultdict(set)
+    for r in out:
+        by_set[bytes(r.set_key)].add((r.n_links, r.class_size))
+    # a pair of texts links once; of the first three pairs each text occurs twice
+    assert sorted(x for s in by_set.values() for x in s) == sorted([(1, 2)] * 74 + [(3, 4)] * 6)
