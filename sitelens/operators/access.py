@@ -150,12 +150,17 @@ def entry_findings(entries: DataFrame, throttle: DataFrame, auditor: DataFrame)
 
 
 def crawl_advice(sites: DataFrame) -> DataFrame:
-    """(site_id, title) from site flags has_robots, has_sitemap, sitemap_checked, has_lastmod, likely_rate_limited, auditor_blocked."""
-    advice = F.array_compact(F.array(
-        F.when(F.col("auditor_blocked"), "Let this auditor read the site"),
-        F.when(F.col("sitemap_checked") & ~F.col("has_sitemap"), "Publish a sitemap"),
-        F.when(F.col("has_sitemap") & ~F.col("has_lastmod"), "Add lastmod to the sitemap"),
+    """(site_id, title) from site flags has_robots, has_sitemap, sitemap_checked, has_lastmod, entry_ok, likely_rate_limited, auditor_blocked.
+
+    A site that shuts the auditor out, or whose entry can't be read, gets at most
+    that one advice: nothing else of it was seen.
+    """
+    titles = lambda *c: F.array_compact(F.array(*c))
+    seen = titles(
+        F.when(F.col("sitemap_checked") & ~F.col("has_sitemap"), "Publish a sitemap").when(F.col("has_sitemap") & ~F.col("has_lastmod"), "Add lastmod to the sitemap"),
         F.when(~F.col("has_robots"), "Publish robots.txt"),
-        F.when(F.col("likely_rate_limited"), "Relax rate limits for crawlers"),
-    ))
-    return sites.select("site_id", F.explode(advice).alias("title"))
+    )
+    advice = F.when(F.col("auditor_blocked"), titles(F.lit("Let this auditor read the site"))).when(
+        ~F.col("entry_ok"), titles(F.when(F.col("likely_rate_limited"), "Relax rate limits for crawlers"))
+    )
+    return sites.select("site_id", F.explode(advice.otherwise(seen)).alias("title"))

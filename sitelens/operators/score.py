@@ -70,6 +70,12 @@ def false_positive_score(relevant: Column, expected: Column, most: Column) -> Co
     return F.when(expected == 0, healthy).otherwise(F.greatest(F.lit(0.0), 1.0 - excess * 0.1))
 
 
+def relevant_counts(matched: DataFrame) -> DataFrame:
+    """What C15 counts, from match(): site_id, relevant (found categories but "other") and expected."""
+    relevant = (F.col("status") != "FN") & (F.col("category") != "other")
+    return matched.groupBy("site_id").agg(F.count_if(relevant).alias("relevant"), F.count_if(F.col("status").isin("TP", "FN")).alias("expected"))
+
+
 def match(found: DataFrame, gold: DataFrame) -> DataFrame:
     """site_id, category, status over the union of both sides; an unexpected "other" is OTHER, not FP."""
     a = found.select("site_id", "category").distinct().withColumn("_a", F.lit(True))

@@ -106,12 +106,15 @@ def entry_retrievable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with s as (select {HOST} as site_id, count(*) as n from pages group by 1)
-    select site_id, unnest(list_filter([case when n % 5 = 0 then 'Let this auditor read the site' end, case when n % 2 = 0 then 'Publish a sitemap' end, case when n % 2 = 1 and n % 3 = 0 then 'Add lastmod to the sitemap' end, case when n > 8 then 'Relax rate limits for crawlers' end], lambda x: x is not null)) as title from s""")
+    select site_id, unnest(list_filter(case when n % 5 = 0 then ['Let this auditor read the site']
+      when n % 3 = 2 then [case when n > 8 then 'Relax rate limits for crawlers' end]
+      else [case when n % 2 = 0 then 'Publish a sitemap' when n % 3 = 0 then 'Add lastmod to the sitemap' end, case when n % 4 = 1 then 'Publish robots.txt' end] end,
+      lambda x: x is not null)) as title from s""")
 def crawl_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D4, with site flags dealt by page counts."""
     n = F.col("n")
     sites = table(spark, sf_dir, "pages").groupBy(U.host(F.col("url")).alias("site_id")).agg(F.count("*").alias("n")).select(
-        "site_id", F.lit(True).alias("has_robots"), (n % 2 == 1).alias("has_sitemap"), F.lit(True).alias("sitemap_checked"), (n % 3 != 0).alias("has_lastmod"),
+        "site_id", (n % 4 != 1).alias("has_robots"), (n % 3 != 2).alias("entry_ok"), (n % 2 == 1).alias("has_sitemap"), F.lit(True).alias("sitemap_checked"), (n % 3 != 0).alias("has_lastmod"),
         (n > 8).alias("likely_rate_limited"), (n % 5 == 0).alias("auditor_blocked"),
     )
     return A.crawl_advice(sites)

@@ -47,9 +47,16 @@ def fact_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", sum((F.col(n).cast("int") for n in has), F.lit(0)).alias("satisfied"), missing.alias("missing"))
 
 
+#: Hosts whose profiles identify an organisation.
+ANCHOR_HOSTS = (
+    "wikipedia.org", "wikidata.org", "linkedin.com", "crunchbase.com", "github.com", "x.com", "twitter.com", "facebook.com",
+    "instagram.com", "youtube.com", "bloomberg.com", "opencorporates.com",
+)
+ANCHORS = "(?i)https?://[^/ ]*(?:" + "|".join(h.replace(".", "[.]") for h in ANCHOR_HOSTS) + ")"
+
 _SITE = f"""select source, count(*) as pages, count(*) filter (regexp_matches(text, '{T.QUOTABLE}')) as quotable,
     sum(len(regexp_extract_all(text, '{T.CORROBORATION}')))::bigint as corroboration, bool_or(regexp_matches(text, '{T.QA}')) as has_qa,
-    bool_or(regexp_matches(text, '{T.EMAIL}')) as has_email, bool_or(regexp_matches(text, '{T.PHONE}')) as has_phone from documents group by source"""
+    bool_or(regexp_matches(text, '{T.EMAIL}')) as has_email, bool_or(regexp_matches(text, '{T.PHONE}')) as has_phone, bool_or(regexp_matches(text, '{ANCHORS}')) as anchored from documents group by source"""
 
 
 def site_surface(docs: DataFrame) -> DataFrame:
@@ -57,7 +64,7 @@ def site_surface(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     return docs.groupBy("source").agg(
         F.count("*").alias("pages"), F.count_if(text.rlike(T.QUOTABLE)).alias("quotable"), F.sum(F.regexp_count(text, F.lit(T.CORROBORATION))).alias("corroboration"),
-        F.bool_or(text.rlike(T.QA)).alias("has_qa"), F.bool_or(text.rlike(T.EMAIL)).alias("has_email"), F.bool_or(text.rlike(T.PHONE)).alias("has_phone"),
+        F.bool_or(text.rlike(T.QA)).alias("has_qa"), F.bool_or(text.rlike(T.EMAIL)).alias("has_email"), F.bool_or(text.rlike(T.PHONE)).alias("has_phone"), F.bool_or(text.rlike(ANCHORS)).alias("anchored"),
     )
 
 
@@ -68,16 +75,16 @@ def quotable_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with s as ({_SITE}) select source, unnest(list_filter([
-      'Publish independently verifiable identity signals',
+      case when not anchored then 'Publish independently verifiable identity signals' end,
       case when corroboration = 0 then 'Create a press, awards or case-study page' end,
       case when not has_qa then 'Add question-and-answer content' end,
       case when quotable * 2 < pages then 'State concrete, quotable facts' end,
       case when not (has_email or has_phone) then 'Publish contact details as text' end,
       'Claim the same name on other sites'], lambda x: x is not null)) as title, 1 as rank_hint from s""")
 def offsite_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D15 D16 on text rules: texts have no markup, so there are no identity anchors; the last row is the constant advice."""
+    """D15 D16 on text rules: an address at an identity host counts as an anchor; the last row is the constant advice."""
     advice = F.array_compact(F.array(
-        F.lit("Publish independently verifiable identity signals"),
+        F.when(~F.col("anchored"), "Publish independently verifiable identity signals"),
         F.when(F.col("corroboration") == 0, "Create a press, awards or case-study page"),
         F.when(~F.col("has_qa"), "Add question-and-answer content"),
         F.when(F.col("quotable") * 2 < F.col("pages"), "State concrete, quotable facts"),

@@ -22,6 +22,11 @@ CONTENT = COLLAPSE.format(f"regexp_replace(regexp_replace(regexp_replace(html, '
 WORDS = "len(list_filter(regexp_split_to_array({}, '[ \\t\\n\\r\\f]+'), lambda w: regexp_matches(w, '[\\p{{L}}\\p{{N}}]')))"
 
 
+#: Breadcrumbs by class, label or schema type; links whose whole text says nothing of their target.
+CRUMBS = '(?i)(?:(?:class|aria-label)="[^"]*breadcrumb|"@type"[^,}]*breadcrumb)'
+GENERIC = '(?i)<a [^>]*href="(?:[^"#mtjd]|m[^"a]|t[^"e]|j[^"a]|d[^"a])[^"]*"[^>]*>[ \t\n]*(?:click here|read more|learn more|here|more|link|this page)[.!]*[ \t\n]*</a>'
+
+
 def page_facts(pages: DataFrame) -> DataFrame:
     """page_id, url, site, title, content text and counts, link profile: one narrow row per page, no shuffle."""
     links = F.filter(T.hrefs(F.col("html")), lambda h: ~h.rlike(U.NOT_NAVIGABLE))
@@ -33,6 +38,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
         "page_id", "url", "site", T.title(F.col("html")).alias("title"), F.regexp_count("html", F.lit("(?i)<nav[ >]")).cast("long").alias("nav_landmarks"),
         inside.alias("internal_links"), (F.size("_a") - inside).cast("long").alias("external_links"), T.word_count(content).alias("words"),
         F.col("html").rlike("(?i)<footer[ >]").alias("has_footer"), content.rlike(T.CTA).alias("has_cta"),
+        F.col("html").rlike(CRUMBS).alias("breadcrumbs"), F.size(F.regexp_extract_all("html", F.lit(GENERIC), F.lit(0))).cast("long").alias("generic_anchors"),
     )
 
 
@@ -42,7 +48,8 @@ FACTS = f"""f0 as (select page_id, url, html, {HOST} as site, {TITLE} as title,
   facts as (select page_id, url, site, title, len(regexp_extract_all(html, '(?i)<nav[ >]'))::bigint as nav_landmarks,
     len(list_filter(a, lambda h: regexp_extract(h, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) = site))::bigint as internal_links,
     len(list_filter(a, lambda h: regexp_extract(h, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) <> site))::bigint as external_links,
-    {WORDS.format('content')}::bigint as words, regexp_matches(html, '(?i)<footer[ >]') as has_footer, regexp_matches(content, '{T.CTA}') as has_cta from f0)"""
+    {WORDS.format('content')}::bigint as words, regexp_matches(html, '(?i)<footer[ >]') as has_footer, regexp_matches(content, '{T.CTA}') as has_cta,
+    regexp_matches(html, '{CRUMBS}') as breadcrumbs, len(regexp_extract_all(html, '{GENERIC}'))::bigint as generic_anchors from f0)"""
 
 
 @query(f"with {FACTS} select * from facts")
@@ -65,19 +72,27 @@ def site_navigation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.withColumn("rank", F.row_number().over(W.orderBy(F.desc("dead_end"), F.desc("pages"), "site")))
 
 
-@query(f"""with {FACTS}, s as (select site, count(*) as pages, bool_or(has_footer) as footer, bool_or(has_cta) as cta from facts group by site)
-    select site, 'Add a site-wide footer' as title, 'low' as effort from s where not footer
-    union all select site, 'Give every page an explicit next step', 'medium' from s where not cta
-    union all select site, 'Add breadcrumb navigation', 'low' from s where pages > 1""")
+@query(f"""with {FACTS}, s as (select site, count(*) as n, bool_or(has_footer) as footer, bool_or(has_cta) as cta, bool_or(breadcrumbs) as crumbs, sum(generic_anchors) as generic,
+      bool_and(nav_landmarks = 0 and internal_links < 2) as dead from facts group by site)
+    select site, 'Add breadcrumb navigation' as title, 'low' as effort from s where dead or (not crumbs and n > 1)
+    union all select site, 'Link related pages to each other', 'medium' from s where dead
+    union all select site, 'Add a site-wide footer', 'low' from s where not dead and not footer
+    union all select site, 'Give every page an explicit next step', 'medium' from s where not dead and not cta
+    union all select site, 'Make anchor text descriptive', 'low' from s where not dead and generic >= 2""")
 def engagement_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D14 on the regex features, where no page has breadcrumbs."""
-    sites = page_facts(table(spark, sf_dir, "pages")).groupBy("site").agg(F.count("*").alias("n"), F.bool_or("has_footer").alias("footer"), F.bool_or("has_cta").alias("cta"))
-    advice = F.array_compact(F.array(
-        F.when(~F.col("footer"), F.struct(F.lit("Add a site-wide footer").alias("title"), F.lit("low").alias("effort"))),
-        F.when(~F.col("cta"), F.struct(F.lit("Give every page an explicit next step").alias("title"), F.lit("medium").alias("effort"))),
-        F.when(F.col("n") > 1, F.struct(F.lit("Add breadcrumb navigation").alias("title"), F.lit("low").alias("effort"))),
+    """D14 on the regex features, which can't tell script shells; a site without any navigation gets the two advices of that finding only."""
+    dead = F.bool_and((F.col("nav_landmarks") == 0) & (F.col("internal_links") < 2))
+    sites = page_facts(table(spark, sf_dir, "pages")).groupBy("site").agg(
+        F.count("*").alias("n"), F.bool_or("has_footer").alias("footer"), F.bool_or("has_cta").alias("cta"),
+        F.bool_or("breadcrumbs").alias("crumbs"), F.sum("generic_anchors").alias("generic"), dead.alias("dead"),
+    )
+    say = lambda when, title, effort: F.when(when, F.struct(F.lit(title).alias("title"), F.lit(effort).alias("effort")))
+    crumbs = lambda when: say(when, "Add breadcrumb navigation", "low")
+    advice = F.when(F.col("dead"), F.array(crumbs(F.lit(True)), say(F.lit(True), "Link related pages to each other", "medium"))).otherwise(F.array(
+        crumbs(~F.col("crumbs") & (F.col("n") > 1)), say(~F.col("footer"), "Add a site-wide footer", "low"),
+        say(~F.col("cta"), "Give every page an explicit next step", "medium"), say(F.col("generic") >= 2, "Make anchor text descriptive", "low"),
     ))
-    return sites.select("site", F.explode(advice).alias("a")).select("site", "a.title", "a.effort")
+    return sites.select("site", F.explode(F.array_compact(advice)).alias("a")).select("site", "a.title", "a.effort")
 
 
 @query(f"select {KEY} as key, count(*) as pages, min(page_id) as first_page from pages group by 1")

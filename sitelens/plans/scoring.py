@@ -56,12 +56,15 @@ def macro_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.groupBy("holdout").agg(F.round(F.avg("recall"), 4).alias("macro_recall"), F.count("*").alias("sites"))
 
 
-@query(f"""with {_CASES}, n as (select site_id, count(*) filter (status <> 'FN') as relevant, count(*) filter (status in ('TP', 'FN')) as expected from matched group by site_id)
+@query(f"""with {_CASES}, m as (select site_id, category, status from matched union all select distinct site_id, 'other', 'OTHER' from found),
+    n as (select site_id, count(*) filter (status <> 'FN' and category <> 'other') as relevant, count(*) filter (status in ('TP', 'FN')) as expected from m group by site_id)
     select site_id, relevant, expected, case when expected = 0 then case relevant when 0 then 1.0 when 1 then 0.7 when 2 then 0.4 else greatest(0.0, 1.0 - relevant * 0.15) end
       else greatest(0.0, 1.0 - greatest(0, relevant - 1) * 0.1) end::double as score from n""")
 def fp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C15 J2, at most one acceptable finding."""
-    n = S.match(*_sides(spark, sf_dir)).groupBy("site_id").agg(F.count_if(F.col("status") != "FN").alias("relevant"), F.count_if(F.col("status").isin("TP", "FN")).alias("expected"))
+    """C15 J2, at most one acceptable finding; every site has a finding "other", which does not count."""
+    found, gold = _sides(spark, sf_dir)
+    found = found.select("site_id", "category").unionByName(found.select("site_id", F.lit("other").alias("category")).distinct())
+    n = S.relevant_counts(S.match(found, gold))
     return n.withColumn("score", S.false_positive_score(F.col("relevant"), F.col("expected"), F.lit(1)))
 
 
