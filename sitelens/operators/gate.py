@@ -1,4 +1,4 @@
-"""Gates on observations, suggestions, events and requests."""
+"""Gates on observations, suggestions, events and requests."""
 
 from __future__ import annotations
 
@@ -145,10 +145,10 @@ def seal(payload: Column, fence: str = "<<<UNTRUSTED>>>") -> Column:
     return F.concat(F.lit(f"{fence}\n"), F.replace(payload, F.lit(fence), F.lit("")), F.lit(f"\n{fence}"))
 
 
-def request_guard(prompt: Column, secret: Column, call: Column, max_tokens: int = 12000, max_calls: int = 6) -> Column:
-    """Ok, or why a request is refused; four characters are a token."""
+def request_guard(chars: Column, secret: Column, call: Column, max_tokens: int = 12000, max_calls: int = 6) -> Column:
+    """Ok, or why a request is refused, from the prompt's length in characters (four are a token), whether it holds a secret, and the number of the call."""
     return (
-        F.when(call > max_calls, "call_budget").when(F.ceil(F.length(prompt) / 4) > max_tokens, "token_budget").when(secret, "secret").otherwise("ok")
+        F.when(call > max_calls, "call_budget").when(F.ceil(chars / 4) > max_tokens, "token_budget").when(secret, "secret").otherwise("ok")
     )
 
 

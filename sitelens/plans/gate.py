@@ -33,7 +33,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {EVENTS} select event_id, category, retryable from c")
 def error_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C10 C38."""
+    """C10."""
     return _events(spark, sf_dir).select("event_id", "category", "retryable")
 
 
@@ -150,7 +150,7 @@ def quote_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C26 C28 on event payloads; prompts are those repeated 6000 times."""
     p = F.col("props")
-    verdict = F.when(F.col("event_id") % 9 > 6, "call_budget").when(F.ceil(F.length(p) * 6000 / 4) > 12000, "token_budget").when(p.contains("7"), "secret").otherwise("ok")
+    verdict = G.request_guard(F.length(p) * 6000, p.contains("7"), F.col("event_id") % 9)
     return table(spark, sf_dir, "events").select("event_id", verdict.alias("verdict"), F.sha2(G.seal(p), 256).alias("sealed"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
+from ..operators import adjudicate as A
 from ..operators import score as S
 from .compose import FINDINGS, findings_of
 from .registry import query, table
@@ -150,8 +151,6 @@ def label_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def adjudicator_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagged categories against labels."""
     f = findings_of(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("seq"), "quality"), "seq", "left")
-    a = f.groupBy("site_id", "category").agg(
-        F.bool_or(F.col("severity") == "critical").alias("flagged"), F.bool_or(F.col("quality") == 0).alias("yes"), F.bool_or(F.col("quality").isNotNull()).alias("known")
-    )
-    same = F.col("flagged") == F.coalesce("yes", F.lit(False))
-    return a.groupBy("category").agg(F.count_if(F.col("known") & same).alias("agree"), F.count_if(F.col("known") & ~same).alias("disagree"), F.count_if(~F.col("known")).alias("abstain"))
+    known, yes = F.bool_or(F.col("quality").isNotNull()), F.coalesce(F.bool_or(F.col("quality") == 0), F.lit(False))
+    labelled = f.groupBy("site_id", "category").agg(F.when(~known, "abstain").when(yes, "yes").otherwise("no").alias("label"))
+    return A.agreement(labelled, f.filter("severity = 'critical'"))

@@ -156,3 +156,32 @@ def test_throttle_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("windows").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.answers, r.refused, r.throttled) for r in spark.table("windows").collect()] == [(2, 1, True)]
+
+
+def test_crawl_advice_ends_where_nothing_was_seen(spark):
+    from sitelens.operators import access
+
+    flags = "site_id string, has_robots boolean, has_sitemap boolean, sitemap_checked boolean, has_lastmod boolean, entry_ok boolean, likely_rate_limited boolean, auditor_blocked boolean"
+    rows = [
+        ("blocked", False, False, True, False, True, True, True), ("throttled", False, False, True, False, False, True, False),
+        ("unreadable", False, False, True, False, False, False, False), ("open", False, False, True, False, True, True, False),
+        ("unchecked", True, False, False, False, True, False, False), ("bare", True, True, True, False, True, False, False),
+    ]
+    said = {}
+    for r in access.crawl_advice(spark.createDataFrame(rows, flags)).collect():
+        said.setdefault(r.site_id, []).append(r.title)
+    assert said == {
+        "blocked": ["Let this auditor read the site"], "throttled": ["Relax rate limits for crawlers"],
+        "open": ["Publish a sitemap", "Publish robots.txt"], "bare": ["Add lastmod to the sitemap"],
+    }
+
+
+def test_other_findings_do_not_count_as_false_positives(spark):
+    from pyspark.sql import functions as F
+
+    from sitelens.operators import score
+
+    found = spark.createDataFrame([("a", "other"), ("b", "other"), ("b", "freshness"), ("c", "freshness")], "site_id string, category string")
+    gold = spark.createDataFrame([("c", "freshness"), ("c", "engagement")], "site_id string, category string")
+    n = score.relevant_counts(score.match(found, gold)).withColumn("s", score.false_positive_score(F.col("relevant"), F.col("expected"), F.lit(5)))
+    assert {r.site_id: (r.relevant, r.expected, r.s) for r in n.collect()} == {"a": (0, 0, 1.0), "b": (1, 0, 0.7), "c": (1, 2, 1.0)}
