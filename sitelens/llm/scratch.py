@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_LEAST_TASK = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
 _local: dict[str, str] = {}
 
 
@@ -33,20 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[context.applicationId]}"
 
 
-def table(df: DataFrame, label: str) -> DataFrame:
+def table(df: DataFrame, label: str, dear: bool = False) -> DataFrame:
     """Write ``df`` as a shared Parquet table and return a reader of it.
 
     Shuffle files of the writing query are released when it ends, so the disk
-    that several steps need is that of the largest one, not the sum.
+    that several steps need is that of the largest one, not the sum. ``dear`` rows
+    take long for their size: their shuffles are dealt to tasks of 64 KB upwards.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sitelens/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    wanted = {_CLEANUP: "true"} | ({_LEAST_TASK: "64k"} if dear else {})
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
