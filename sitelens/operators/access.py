@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import urls as U
 from ..functions import vocabulary as V
-from ..llm import scratch
+from .. import scratch
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:
