@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import scratch
-from .spread import components, lookup
+from .. import scratch
+from ..spread import components, lookup
 from .text import boxed, unboxed
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999

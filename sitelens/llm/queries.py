@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, scratch, sharding, suffix_dedup, token_counts
+from .. import scratch
+from . import chat_format, exact_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, sharding, suffix_dedup, token_counts
 from .oracles import ORACLES
 from .text import count_words
 from .tokens import public_path
