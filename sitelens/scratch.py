@@ -61,7 +61,7 @@ def table(df: DataFrame, label: str, dear: bool = False) -> DataFrame:
 
 
 def release(df: DataFrame) -> None:
-    """Delete a shared table that no later step reads."""
+    """Delete a shared table that ``table`` returned and no later step reads."""
     jvm = df.sparkSession.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
     where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -1,9 +1,10 @@
-"""Lookups that no hot key can pile onto one task, and connected components built on them."""
+"""Lookups and ranks that no hot key can pile onto one task, and connected components built on them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import scratch
 
@@ -22,6 +23,23 @@ def lookup(rows: DataFrame, key: str, by: str, table: DataFrame, how: str = "inn
     return salted.join(pairs.join(table, key), [key, "_salt"], how).drop("_salt")
 
 
+def ranked(rows: DataFrame, group: str, order: list[Column], label: str) -> DataFrame:
+    """``rows`` with rank and group_rows (long): the place from 0 in the group by ``order``, and the group's rows.
+
+    Rows are dealt to tasks by ranges of (group, order), so a group of any size
+    takes many; a stretch's place is the sum of the stretches before it, one row
+    for each (group, task). ``order`` should end in a unique column, which also
+    spreads rows that are equal before it. ``group`` has no nulls.
+    """
+    cut = rows.repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id())
+    cut = scratch.table(cut, f"{label}-cut")
+    counts = cut.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    upto = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(group, "_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"), F.sum("_n").over(W.partitionBy(group)).alias("group_rows"))
+    here = F.row_number().over(W.partitionBy(group, "_part").orderBy(*order)) - 1
+    return cut.withColumn("_here", here).join(starts, [group, "_part"]).withColumn("rank", F.col("_start") + F.col("_here")).drop("_part", "_here", "_start")
+
+
 def components(edges: DataFrame, label: str) -> DataFrame:
     """Distributed union-find: (a, b) edges to (v, root), root the smallest vertex of v's component.
 
@@ -40,10 +58,13 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         best = seen.groupBy("a").agg(F.min("root").alias("m"))
         hooked = labels.join(best.withColumnRenamed("a", "v"), "v").select("v", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         hooked = scratch.table(hooked, f"{label}-hooked")
+        scratch.release(labels)
         far = hooked.select(F.col("v").alias("root"), F.col("root").alias("r"))
         jumped = lookup(hooked, "root", "v", far).select("v", "old", F.least("root", "r").alias("root"))
         labels = scratch.table(jumped, f"{label}-labels")
+        scratch.release(hooked)
         if labels.filter("old != root").isEmpty():
             break
-        labels = labels.drop("old")
+    scratch.release(both)
+    labels = labels.drop("old")
     return labels.select("v", "root").unionByName(loops.join(labels.select("v"), "v", "left_anti"))
