@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import scratch
-from . import chat_format, exact_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, sharding, suffix_dedup, token_counts
+from . import chat_format, exact_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, sharding, suffix_dedup, token_counts, vector_codes
 from .oracles import ORACLES
 from .text import count_words
 from .tokens import public_path
@@ -83,10 +83,18 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "start", "block", "shard")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.compress(_read(spark, sf_dir, "embeddings"))
+    out = vector_codes.label_errors(codes.rows)
+    digits = F.array_join(F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return out.select(F.col("id").alias("vec_id"), digits.alias("code"), "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_best_fit_packing, op3_line_dedup, op4_token_counts, op5_quality_rules, op6_two_pass_shuffle, op7_ngram_jaccard_join, op8_chat_format, op9_exact_dedup, op10_mix_sources,
+        op11_vector_codes,
     )
 }
 
