@@ -77,9 +77,66 @@ select doc_id, n_words, coalesce(word_chars, 0) as word_chars, n_symbols, n_dup_
   not base_failed and doc_id not in (select doc_id from gone) as kept from b
 """
 
+def _op11(rounds: int = 6) -> str:
+    """Lloyd rounds in integers, unrolled; every distance is computed."""
+    square = "list_sum(list_transform(list_zip({}, {}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint"
+    sql = """with k as materialized (select row_number() over (order by vec_id, embedding) as r, vec_id, label,
+      list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as v from embeddings
+      where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    p as materialized (select r, part, v[part * len(v) // 8 + 1:(part + 1) * len(v) // 8] as x from k, range(8) as t(part)),
+    b0 as materialized (select part, r - 1 as e, x from p where r <= 16)"""
+    for i in range(1, rounds + 2):
+        sql += f""", a{i} as materialized (select r, part, any_value(x) as x, min(struct_pack(d := d, e := e)) as best from (
+          select p.r, p.part, p.x, b.e, {square.format("p.x", "b.x")} as d from p join b{i - 1} b on p.part = b.part) group by r, part)"""
+        if i <= rounds:
+            sql += f""", b{i} as materialized (select part, e, coalesce(n.x, b.x) as x from b{i - 1} b left join (
+          select part, e, list(case when s >= 0 then s // c else -((c - 1 - s) // c) end order by place) as x from (
+            select part, best.e as e, place, sum(x[place])::bigint as s, count(*)::bigint as c
+            from (select *, unnest(range(1, len(x) + 1)) as place from a{i}) group by all) group by part, e) n using (part, e))"""
+    last = rounds + 1
+    return sql + f""", c as (select r, string_agg(printf('%02x', best.e), '' order by part) as code, sum(best.d)::bigint as error from a{last} group by r)
+    select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+      (select sha256(string_agg(array_to_string(x, ','), ',' order by part, e)) from b{rounds}) as codebooks_sha256 from c join k using (r)"""
+
+
+def _merkle_levels(at: str, levels: int) -> str:
+    """Levels over {at}0 (g, pos, h): runs of two until a group has one node; {at}w (g, i, pos, path), path from below."""
+    sql = f"{at}w0 as materialized (select g, pos as i, pos, []::struct(h varchar, l boolean)[] as path from {at}0)"
+    for k in range(levels):
+        n = f"select *, count(*) over (partition by g) as many from {at}{k}"
+        sql += f""", {at}{k + 1} as materialized (select g, pos // 2 as pos, case when max(many) = 1 then max(h) else sha256(string_agg(h, '' order by pos)) end as h
+          from ({n}) group by g, pos // 2),
+        {at}w{k + 1} as materialized (select w.g, w.i, w.pos // 2 as pos, case when (select count(*) from {at}{k} c where c.g = w.g) = 1 then path
+          else list_append(path, struct_pack(h := coalesce(s.h, ''), l := coalesce(s.pos < w.pos, false))) end as path
+          from {at}w{k} w left join {at}{k} s on s.g = w.g and s.pos = case when w.pos % 2 = 0 then w.pos + 1 else w.pos - 1 end)"""
+    return sql + f", {at}w as (select g, i, path from {at}w{levels}), {at}top as (select g, h from {at}{levels})"
+
+
+def _op13(levels: int = 18, langs: int = 8) -> str:
+    """All levels unrolled (2^18 rows a language, 2^8 languages)."""
+    field = lambda c: f"case when {c} is null then '-' else strlen({c}::varchar) || ':' || {c}::varchar end"
+    leaf = lambda chars: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", chars, "text")) + ")"
+    # CRC-32: a byte enters, then eight steps (a -1 each) divide by the reversed polynomial
+    crc = """xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda c, x: case when x >= 0 then xor(c, x) when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end), 4294967295)"""
+    return f"""with d as materialized (select doc_id, case when lang is null then '0' else '1' || lang end as g, {leaf("n_chars")} as h,
+        case when {crc} % 7 = 0 then {leaf("(n_chars + 1)")} else {leaf("n_chars")} end as t from documents),
+      r as materialized (select *, row_number() over (partition by g order by doc_id nulls first, h) - 1 as pos from d),
+      n0 as materialized (select g, pos, h from r), {_merkle_levels("n", levels)},
+      m0 as materialized (select '' as g, row_number() over (order by encode(g)) - 1 as pos, h from ntop),
+      names as (select g, row_number() over (order by encode(g)) - 1 as i from ntop), {_merkle_levels("m", langs)},
+      f as (select r.doc_id, r.h as leaf, r.t, ntop.h as subroot, mtop.h as root, list_concat(nw.path, mw.path) as path
+        from r join nw on nw.g = r.g and nw.i = r.pos join ntop on ntop.g = r.g join names on names.g = r.g join mw on mw.i = names.i cross join mtop),
+      e as (select *, list_reduce(list_concat([struct_pack(h := t, l := false)], path), lambda a, s:
+        struct_pack(h := sha256(case when s.l then s.h || a.h else a.h || s.h end), l := false)).h as folded_root from f)
+      select doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.h), '')) as proof_sha256, folded_root, folded_root = root as verified from e"""
+
+
 ORACLES: dict[str, str] = {
     "op5_quality_rules": _OP5,
     "op8_chat_format": _OP8,
     "op9_exact_dedup": _OP9,
     "op10_mix_sources": _OP10,
+    "op11_vector_codes": _op11(),
+    "op13_merkle_manifest": _op13(),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import scratch
-from . import chat_format, exact_dedup, jaccard_join, line_dedup, mixing, packing, quality_rules, sharding, suffix_dedup, token_counts, vector_codes
+from . import chat_format, exact_dedup, jaccard_join, line_dedup, merkle, mixing, packing, quality_rules, sharding, simhash, suffix_dedup, token_counts, vector_codes
 from .oracles import ORACLES
 from .text import count_words
 from .tokens import public_path
@@ -90,11 +90,24 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("vec_id"), digits.alias("code"), "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256"))
 
 
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    touched = F.crc32(docs["doc_id"].cast("string")) % 7 == 0
+    more = lambda of: {"n_chars": F.when(touched, of["n_chars"] + 1).otherwise(of["n_chars"])}
+    out = merkle.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", more)
+    return out.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup, op2_best_fit_packing, op3_line_dedup, op4_token_counts, op5_quality_rules, op6_two_pass_shuffle, op7_ngram_jaccard_join, op8_chat_format, op9_exact_dedup, op10_mix_sources,
-        op11_vector_codes,
+        op11_vector_codes, op12_simhash_dedup, op13_merkle_manifest,
     )
 }
 
