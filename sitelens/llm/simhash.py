@@ -28,7 +28,7 @@ from .text import ascii_lower, words
 
 SHINGLE, REACH = 3, 2
 #: Members of a shard that are compared at once; shards of one tree; sampled members behind a tree; members routed per task.
-LEAF, FAN, SAMPLE, STRETCH = 1024, 256, 4096, 8192
+LEAF, FAN, SAMPLE, STRETCH = 4096, 256, 4096, 8192
 _TRIES = 12
 _CHUNK = 1 << 15
 
@@ -105,7 +105,7 @@ def grow(sample: np.ndarray, members: int, reach: int = REACH, leaf: int = LEAF,
     ended: list[tuple[int, int] | None] = []
     while heap and leaves < fan:
         size, _, points, slot = heapq.heappop(heap)
-        cut = _best_cut(points, reach, rng) if -size * weight > leaf / 2 and len(points) > 1 else None
+        cut = _best_cut(points, reach, rng) if -size * weight > 0.75 * leaf and len(points) > 1 else None
         if cut is None:
             ended.append(slot)
             continue
