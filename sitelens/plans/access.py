@@ -75,10 +75,12 @@ _LINKS = f"""l as (select distinct {HOST} as site_id, case when {PATH} = '' then
   e as (select {HOST} as site_id, case when {PATH} = '' then '/' else {PATH} end as node from pages qualify {ENTRY})"""
 
 
-@query(f"""with recursive {_LINKS}, b as (select site_id, node, 0 as depth from e union all select b.site_id, l.dst, depth + 1 from b join l on l.site_id = b.site_id and l.src = b.node where depth < 3)
-    select site_id, node, min(depth)::int as depth from b group by all""")
+@query(f"""with recursive {_LINKS}, b(site_id, node, depth) using key (site_id, node) as (select site_id, node, 0 from e union
+      select l.site_id, l.dst, b.depth + 1 from b join l on l.site_id = b.site_id and l.src = b.node
+      left join recurring.b r on r.site_id = l.site_id and r.node = l.dst where r.node is null)
+    select site_id, node, depth from b""")
 def bfs_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Link distance from a site's entry, all levels; the SQL stops at three."""
+    """Link distance from a site's entry."""
     pages = with_entry(table(spark, sf_dir, "pages"))
     place = F.when(U.path(F.col("url")) == "", "/").otherwise(U.path(F.col("url")))
     links = pages.select(F.col("site").alias("site_id"), place.alias("src"), F.explode(T.hrefs(F.col("html"))).alias("dst")).filter(F.col("dst").startswith("/"))

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators.templates import templates
 from .registry import query, table
 
 HOST = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
@@ -198,50 +199,19 @@ def url_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", U.local_path(url).alias("local_path"), U.slug(url).alias("slug"), U.report_name(url).alias("name"))
 
 
-def templates(urls: DataFrame, depth: int | None = None) -> DataFrame:
-    """A path template per (site, url), inferred level by level from the siblings under the template so far.
-
-    Without ``depth``, all levels that the URLs have, found by one aggregate.
-
-    One aggregate and join per level; the rows of a level are distinct (site,
-    prefix, segment), so sites with many pages meet pre-aggregated.
-    """
-    out = urls.withColumn("_s", U.segments(F.col("url"))).withColumn("prefix", F.lit(""))
-    if depth is None:
-        depth = out.agg(F.max(F.size("_s"))).first()[0] or 0
-    for level in range(depth):
-        seg = F.get("_s", F.lit(level))
-        here = out.withColumn("_seg", seg)
-        counts = here.filter("_seg is not null").groupBy("site", "prefix", "_seg").agg(F.count("*").alias("n"))
-        level_stats = counts.groupBy("site", "prefix").agg(F.count("*").alias("_d"), F.sum("n").alias("_n"))
-        slot = (F.col("_d") >= 3) & (F.col("_d") >= 0.5 * F.col("_n"))
-        token = (
-            F.when(F.col("_seg").isNull(), "")
-            .when(F.col("_seg").rlike("^[0-9]+$"), "/<num>")
-            .when(F.col("_seg").rlike("(?i)^[0-9a-f]{8}-[0-9a-f-]{16,}$"), "/<uuid>")
-            .when(slot, "/<slug>")
-            .otherwise(F.concat(F.lit("/"), F.lower("_seg")))
-        )
-        out = here.join(level_stats, ["site", "prefix"], "left").withColumn("prefix", F.concat("prefix", token)).drop("_d", "_n", "_seg")
-    return out.withColumn("template", F.when(F.col("prefix") == "", "/").otherwise(F.col("prefix"))).drop("_s", "prefix")
-
-
-def _levels(depth: int) -> str:
-    sql = f"l0 as (select page_id, {HOST} as site, length({PATH}) as plen, list_filter(string_split({PATH}, '/'), lambda s: s <> '') as s, '' as prefix from pages)"
-    for k in range(1, depth + 1):
-        sql += f""", c{k} as (select site, prefix, count(distinct s[{k}]) as d, count(*) as n from l{k - 1} where s[{k}] is not null group by site, prefix),
-        l{k} as (select page_id, site, plen, s, prefix || case when s[{k}] is null then '' when regexp_matches(s[{k}], '^[0-9]+$') then '/<num>'
-          when regexp_matches(s[{k}], '(?i)^[0-9a-f]{{8}}-[0-9a-f-]{{16,}}$') then '/<uuid>' when d >= 3 and d >= 0.5 * n then '/<slug>' else '/' || lower(s[{k}]) end as prefix
-          from l{k - 1} left join c{k} using (site, prefix))"""
-    return sql
-
-
-_TEMPLATES = f"{_levels(4)}, t as (select page_id, site, plen, case when prefix = '' then '/' else prefix end as template from l4)"
+#: Levels one after the other; windows over the URLs under the template so far.
+_TEMPLATES = f"""recursive p0 as (select page_id, {HOST} as site, length({PATH}) as plen, list_filter(string_split({PATH}, '/'), lambda s: s <> '') as s from pages),
+  walk as (select *, 0 as level, '' as prefix from p0 union all
+    select page_id, site, plen, s, level + 1, prefix || case when s[level + 1] is null then '' when regexp_matches(s[level + 1], '^[0-9]+$') then '/<num>'
+      when regexp_matches(s[level + 1], '(?i)^[0-9a-f]{{8}}-[0-9a-f-]{{16,}}$') then '/<uuid>'
+      when count(distinct s[level + 1]) over w >= 3 and count(distinct s[level + 1]) over w >= 0.5 * count(s[level + 1]) over w then '/<slug>' else '/' || lower(s[level + 1]) end
+    from walk where level < (select max(len(s)) from p0) window w as (partition by site, prefix)),
+  t as (select page_id, site, plen, case when prefix = '' then '/' else prefix end as template from walk where level = (select max(len(s)) from p0))"""
 
 
 @query(f"with {_TEMPLATES} select site, template, count(*) as pages from t group by all")
 def url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X1 A1 A2, all levels; the SQL unrolls four."""
+    """X1 A1 A2."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", U.host(F.col("url")).alias("site"))
     return templates(pages).groupBy("site", "template").agg(F.count("*").alias("pages"))
 

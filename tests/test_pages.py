@@ -96,7 +96,7 @@ def test_url_expressions(spark):
 def test_templates_and_titles(spark):
     urls = [f"http://a/shop/item{k}" for k in range(4)] + ["http://a/shop/12", "http://a/about", "http://a/"]
     df = spark.createDataFrame([("a", u) for u in urls], "site string, url string")
-    got = {r.url: r.template for r in templates(df, 3).collect()}
+    got = {r.url: r.template for r in templates(df).collect()}
     assert got["http://a/shop/item1"] == "/shop/<slug>" and got["http://a/shop/12"] == "/shop/<num>" and got["http://a/about"] == "/about" and got["http://a/"] == "/"
     titles = spark.createDataFrame([("About - Kettle",), ("Kettle | tea",), ("one two three four five six",), ("",), (None,)], "t string")
     assert [r[0] for r in titles.select(T.brand_segment(F.col("t"))).collect()][:4] == ["Kettle", "Kettle", "", ""]
