@@ -69,6 +69,21 @@ def scope_prefix(url: Column) -> Column:
     return F.when((first == "") | first.contains("."), "").otherwise(F.concat(F.lit("/"), first))
 
 
+def absolute(base: Column, href: Column) -> Column:
+    """A link as an absolute URL without fragment: absolute, scheme-relative, rooted, query-only or relative to the base's folder; dot segments are resolved."""
+    scheme = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*):", 1)
+    root = F.concat(scheme, F.lit("://"), host(base))
+    folder = F.regexp_replace(path(base), "[^/]*$", "")
+    joined = F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(scheme, F.lit(":"), href)).when(href.startswith("/"), F.concat(root, href))
+    joined = joined.when(href.startswith("?") | (href == ""), F.concat(root, path(base), href)).otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), href))
+    whole = F.regexp_replace(joined, "#.*$", "")
+    keep = lambda acc, s: F.when(s == ".", acc).when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, s))
+    parts = F.aggregate(F.split(F.regexp_replace(path(whole), "^/", ""), "/"), F.array().cast("array<string>"), keep)
+    q = F.regexp_extract(whole, "([?].*)$", 1)
+    tidy = F.concat(F.regexp_extract(whole, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), F.lit("/"), F.array_join(parts, "/"), q)
+    return F.when(path(whole).rlike("/[.][.]?(/|$)"), tidy).otherwise(whole)
+
+
 def segments(url: Column) -> Column:
     return F.filter(F.split(path(url), "/"), lambda s: s != "")
 
