@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..sources import web
-from ..streaming import throttle
+from ..streaming import saturation, throttle
 from .pages import BARE, HOST
 from .registry import query, table
 
@@ -31,3 +31,20 @@ def site_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 def capture_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captured pages and bytes per host."""
     return table(spark, sf_dir, "pages").groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"), F.sum(F.length("html")).alias("chars"))
+
+
+_IDLE = 24 * 3600 * 1000
+
+
+@query(f"""with a as (select user_id as site_id, ts, event_id as seq, event_type as template, case event_type when 'error' then 429 when 'signup' then 403 else 200 end as status from events),
+    g as (select *, case when epoch_ms(ts) - epoch_ms(lag(ts) over w) > {_IDLE} then 1 else 0 end as new from a window w as (partition by site_id order by ts, seq)),
+    r as (select *, sum(new) over (partition by site_id order by ts, seq rows unbounded preceding) as run from g),
+    f as (select *, row_number() over (partition by site_id, run, template order by ts, seq) = 1 as fresh, count(*) over w as pages, count(*) filter (status in (401, 403, 429)) over w as refused,
+      count(*) filter (status = 200) over w as ok, count(*) filter (status = 429) over w as hard from r window w as (partition by site_id, run order by ts, seq rows unbounded preceding)),
+    s as (select *, pages - max(case when fresh then pages end) over (partition by site_id, run order by ts, seq rows unbounded preceding) as since from f)
+    select site_id, ts, seq, pages, since, refused, pages >= {saturation.SOFT} and since >= {saturation.PATIENCE} as saturated, hard > 0 or (ok >= 1 and refused >= 3) as rate_limited from s""")
+def saturation_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.12 X2 A9: the stateful stream's batch form, events standing for answers and their types for templates; a day without answers starts anew."""
+    status = F.when(F.col("event_type") == "error", 429).when(F.col("event_type") == "signup", 403).otherwise(200)
+    answers = table(spark, sf_dir, "events").select(F.col("user_id").alias("site_id"), "ts", F.col("event_id").alias("seq"), F.col("event_type").alias("template"), status.alias("status_code"))
+    return saturation.batch_states(answers, idle_ms=_IDLE)

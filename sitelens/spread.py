@@ -66,5 +66,6 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         if labels.filter("old != root").isEmpty():
             break
     scratch.release(both)
-    labels = labels.drop("old")
-    return labels.select("v", "root").unionByName(loops.join(labels.select("v"), "v", "left_anti"))
+    out = labels.select("v", "root").unionByName(loops.join(labels.select("v"), "v", "left_anti"))
+    out._scratch_path = labels._scratch_path  # for a caller that releases it
+    return out
