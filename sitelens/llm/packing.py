@@ -111,11 +111,11 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int,
 
     From the longest length down, gaps are filled exactly by single lengths, then
     what is left by indexed sums of two, then of three, as often as the counts
-    allow; the rest goes best fit, longest first. Where exact sums use up the
-    short pieces (many lengths, each rare), fewer of them need fewer sequences:
-    the plan with the fewest is taken, that with all sums on ties.
+    allow; the rest goes best fit, longest first. Where sums of three use up the
+    short pieces (many lengths, each rare), sums of up to two may need fewer
+    sequences: of both plans that with fewer is taken, that with triples on ties.
     """
-    return min((_plan(counts, capacity, parts) for parts in (3, 2, 0)), key=lambda plan: sum(n for _, n in plan))
+    return min((_plan(counts, capacity, parts) for parts in (3, 2)), key=lambda plan: sum(n for _, n in plan))
 
 
 def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
@@ -127,7 +127,7 @@ def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[
     if left[capacity]:
         plan.append(((capacity,), int(left[capacity])))
         left[capacity] = 0
-    sums = _Sums(left, capacity - 1) if most else None
+    sums = _Sums(left, capacity - 1)
     for parts in range(1, most + 1):
         for length in range(capacity - 1, 0, -1):
             while left[length] > 0:
