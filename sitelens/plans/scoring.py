@@ -112,12 +112,17 @@ _STOP = ", ".join(f"'{w}'" for w in V.STOPWORDS)
 _KEYS = f"list_sort(list_distinct(list_filter(regexp_extract_all(lower({{}}), '[a-z0-9-]+'), lambda w: length(w) > 2 and w not in ({_STOP}))))"
 
 
-@query(f"""with want as (select distinct source as site_id, item, {_KEYS.format('item')} as k from (select source, item_id % 20 as m, text as item from benchmark join (select distinct source from documents) on ('src' || item_id % 20) = source)),
-    said as (select source as site_id, {_KEYS.format('text')} as k, case when doc_id % 2 = 0 then 'rec' else 'action' end as kind from documents),
+def proactive_sql(before: str, said: str) -> str:
+    """C20 over advice ``said`` (source, kind, text), a table or one that ``before`` defines."""
+    return f"""with {before}{', ' if before else ''}want as (select distinct source as site_id, item, {_KEYS.format('item')} as k from (select source, item_id % 20 as m, text as item from benchmark join (select distinct source from documents) on ('src' || item_id % 20) = source)),
+    said as (select source as site_id, {_KEYS.format('text')} as k, kind from {said}),
     o as (select w.site_id, item, kind, max(len(list_intersect(w.k, s.k)) / len(w.k)) as o from want w join said s using (site_id) where len(w.k) > 0 group by all),
     b as (select site_id, item, coalesce(max(o) filter (kind = 'rec'), 0) as r, coalesce(max(o) filter (kind = 'action'), 0) as a from o group by all),
     c as (select site_id, sum(case when r >= 0.5 then 1.0 when a >= 0.5 then 0.5 when r >= 0.34 then 0.5 when a >= 0.34 then 0.25 else 0.0 end) as c from b group by all)
-    select site_id, round(least(1.0, coalesce(c, 0) / n)::double, 4) as proactive from (select site_id, count(*) as n from want group by all) left join c using (site_id)""")
+    select site_id, round(least(1.0, coalesce(c, 0) / n)::double, 4) as proactive from (select site_id, count(*) as n from want group by all) left join c using (site_id)"""
+
+
+@query(proactive_sql("docs as (select source, text, case when doc_id % 2 = 0 then 'rec' else 'action' end as kind from documents)", "docs"))
 def proactive_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as expected items of sources, documents as advice."""
     docs = table(spark, sf_dir, "documents")
