@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .names import normal
+from ..functions.names import normal
 
 IDENTITY_SLOTS = (
     "json-ld name", "json-ld legalName", "json-ld alternateName", "og:site_name", "footer copyright", "body 'Welcome to'", "body 'formerly'",
@@ -99,7 +99,6 @@ def entity_identity(pages: DataFrame) -> DataFrame:
     """
 
     def family(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.assign(key=[normal(n) for n in b["name"]])
         b = b[b["key"] != ""].sort_values(["key", "name"]).groupby("key", as_index=False).agg(name=("name", "first"), slots=("slots", lambda s: len({x for y in s for x in y})), pages=("pages", "sum"))
         keys = list(b["key"])
         if len(keys) < 2:
@@ -110,7 +109,7 @@ def entity_identity(pages: DataFrame) -> DataFrame:
         near = [k for k in keys if k != best and (ratio(best, k) >= 0.5 or best[:4] == k[:4])]
         return pd.DataFrame({"site_id": [key[0]], "n": [len(near) + 1], "page": [best]})
 
-    groups = site_names(pages).groupBy("site_id").applyInPandas(family, "site_id string, n long, page string").filter("n >= 3")
+    groups = site_names(pages).withColumn("key", normal(F.col("name"))).groupBy("site_id").applyInPandas(family, "site_id string, n long, page string").filter("n >= 3")
     return groups.select("site_id", F.lit("entity_identity").alias("category"), F.lit("high").alias("severity"), "n", "page")
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from sitelens.functions import names
 from sitelens.functions import text as T
 from sitelens.functions import urls as U
 from sitelens.operators import adjudicate as A
 from sitelens.operators import detect as D
-from sitelens.operators import dom, names
+from sitelens.operators import dom
 from sitelens.plans.pages import templates, with_entry
 
 FILL = "<p>" + "plain prose about the workshop and its tools " * 12 + "</p>"
@@ -67,20 +68,27 @@ def test_parser_on_awkward_markup():
     deep = dom.features("<div>" * 6000 + "x" + "</div>" * 3, "http://a/")
     assert deep["content"] == "x" and deep["words"] == 1
     f = dom.features("<title>T</title><p>a<p>b<br>c<script>var s='<p>no</p>'</script><!-- no --><img src=a.png><img src=b.png alt=''>", "http://a/x")
-    assert f["content"] == "T a b c" and f["images"] == 2 and f["title"] == "T"
+    assert f["content"] == "T a b c" and len(f["images"]) == 2 and f["title"] == "T"
     assert dom.features("", "")["words"] == 0 and dom.features("\0<<<>", "")["links"] == 0
     links = dom.features("<header><a href='#x'>x</a></header><a href='/y'>read more</a><a href='http://o/z'>z</a>", "http://a/")
     assert (links["internal_links"], links["external_links"], links["generic_anchors"]) == (1, 1, 1)
 
 
-def test_names():
-    assert names.normal("Kettle's Works, L.L.C.") == "kettle works" and names.normal("Inc") == "inc"
+def test_names(spark):
+    df = spark.createDataFrame([(x,) for x in ("Kettle's Works, L.L.C.", "Inc", "Big Holdings Co. Ltd", None)], "n string")
+    assert [r[0] for r in df.select(names.normal(F.col("n"))).collect()] == ["kettle works", "inc", "big", ""]
     body = "Welcome to Kettle House. It was formerly Pan Works. See the list. © 2019-2026 Kettle Ltd. All rights reserved"
-    got = names.identity_names("About - Kettle", {"og:title": "The thing"}, [(1, "Welcome to Kettle"), (2, "About Kettle")], [{"@type": "Product", "name": "Tea"}, {"@type": "NGO", "name": ["Ket Tle"]}], body)
-    assert dict((s, n) for n, s in got) == {
+    entities = [(["Product"], [("name", "Tea")]), (["NGO", "x"], [("name", "Ket Tle"), ("alternateName", "the best")])]
+    row = spark.createDataFrame(
+        [("About - Kettle", {"og:title": "The thing"}, [(1, "Welcome to Kettle"), (2, "About Kettle")], entities, body), (None, None, None, None, None)],
+        "t string, m map<string,string>, h array<struct<level:int,text:string>>, e array<struct<types:array<string>,slots:array<struct<slot:string,value:string>>>>, b string",
+    )
+    got = [r[0] for r in row.select(names.identity_names(*map(F.col, "tmheb"))).collect()]
+    assert {x.slot: x.name for x in got[0]} == {
         "title": "Kettle", "h1": "Kettle", "json-ld name": "Ket Tle", "footer copyright": "Kettle Ltd", "body 'Welcome to'": "Kettle House",
         "body 'formerly'": "Pan Works", "'About' heading": "Kettle",
     }
+    assert not got[1]
 
 
 def test_url_expressions(spark):
