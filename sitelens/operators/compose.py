@@ -18,15 +18,20 @@ from ..functions import vocabulary as V
 def merge_findings(findings: DataFrame) -> DataFrame:
     """Per site and category the strongest finding (severity, then evidence length, earlier on ties); losers corroborate, locations unite.
 
-    One aggregate instead of a window, so a site with many findings is merged
-    map-side; a finding's strength is one struct that max_by compares.
+    Aggregates instead of windows, so a site with many findings is merged
+    map-side; a finding's strength is one struct that max_by compares. Locations
+    are made distinct before they meet, so a group's row holds each page once.
     """
     rank = V.mapped(F.col("severity"), V.SEVERITY_RANK, 0)
     strength = F.struct(rank.alias("r"), F.length("evidence").alias("l"), (-F.col("seq")).alias("s"))
     kept = F.struct("seq", "severity", "confidence", "title", "evidence", "detected_by")
     merged = findings.groupBy("site_id", "category").agg(
-        F.max_by(kept, strength).alias("w"), F.count("*").alias("n"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("locations")))).alias("locations"),
+        F.max_by(kept, strength).alias("w"), F.count("*").alias("n"),
     )
+    places = findings.select("site_id", "category", F.explode("locations").alias("l")).distinct()
+    places = places.groupBy("site_id", "category").agg(F.array_sort(F.collect_list("l")).alias("locations"))
+    places = places.withColumnsRenamed({"site_id": "_site", "category": "_category"})
+    merged = merged.join(places, F.col("site_id").eqNullSafe(F.col("_site")) & F.col("category").eqNullSafe(F.col("_category")), "left").withColumn("locations", F.coalesce("locations", F.array().cast("array<string>")))
     return merged.select("site_id", "category", "w.*", "locations", (F.col("n") - 1).alias("corroborations"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 from ..functions import vocabulary as V
+from ..spread import ranked
 
 NETWORK = (
     "timeout|connectionerror|connectionreseterror|connectionrefusederror|readtimeout|connecttimeout|sslerror|socketerror|oserror|"
@@ -163,6 +164,33 @@ def rollup(events: DataFrame) -> DataFrame:
     return events.groupBy("site_id", "category").agg(F.count("*").alias("events"), F.count_if("retryable").alias("retryable"))
 
 
+def limitation_notes(events: DataFrame) -> DataFrame:
+    """What a report can't speak of: distinct notes per site with how often and where they first occur, in that order.
+
+    ``events``: site_id, event_id, ts, category, phase, operation, exception, url
+    and summary. Defects of the site itself give no note. Repeats meet map-side,
+    so only distinct notes are ordered, and a site's notes are ranked by ranges.
+    """
+    what = F.when(F.coalesce("exception", F.lit("")) == "", "error").otherwise(F.col("exception"))
+    note = (
+        F.when(F.coalesce("summary", F.lit("")) != "", F.col("summary"))
+        .when(F.coalesce("url", F.lit("")) != "", F.concat("operation", F.lit(" failed at "), "url", F.lit(" ("), what, F.lit("): the page is missing")))
+        .otherwise(F.concat("phase", F.lit("/"), "operation", F.lit(" failed ("), what, F.lit("): results may be incomplete")))
+    )
+    said = events.filter(F.coalesce("category", F.lit("")) != "website_defect").withColumn("note", note)
+    first = said.groupBy("site_id", "note").agg(F.count("*").alias("times"), F.min(F.struct("ts", "event_id")).alias("at"))
+    placed = ranked(first.select("site_id", "note", "times", "at.ts", "at.event_id"), "site_id", [F.col("ts"), F.col("event_id")], "notes")
+    return placed.select("site_id", (F.col("rank") + 1).cast("int").alias("place"), "note", "times", "event_id")
+
+
+def telemetry(calls: DataFrame) -> DataFrame:
+    """Calls, characters, tokens (four characters each) and calls by status per site; ``calls``: site_id, chars, status."""
+    states = ("ok", "failed", "refused")
+    return calls.groupBy("site_id").agg(
+        F.count("*").alias("calls"), F.sum("chars").alias("chars"), F.sum(F.ceil(F.col("chars") / 4)).alias("tokens"), *(F.count_if(F.col("status") == s).alias(s) for s in states)
+    )
+
+
 def number_events(events: DataFrame) -> DataFrame:
     """Ids ERR-001 on, in order of time and event."""
     n = F.row_number().over(W.partitionBy("site_id").orderBy("ts", "event_id"))

@@ -159,3 +159,27 @@ def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The key of every payload, wrapped in prose, through VARIANT; no equal in SQL."""
     wrapped = F.concat(F.lit("Sure: "), F.col("props"), F.lit(" done"))
     return table(spark, sf_dir, "events").select("event_id", F.variant_get(G.tolerant_json(wrapped), "$.k", "int").alias("k"))
+
+
+_NOTED = f"{EVENTS}, w as (select site_id, event_id, ts, category, phase, 'fetch' as operation, exception, case when event_id % 3 = 0 then 'https://s' || site_id || '.example/' || event_id % 4 end as url, case when event_id % 5 = 0 then 'Budget ' || status end as summary from c)"
+
+
+@query(f"""with {_NOTED}, n as (select site_id, ts, event_id, case when coalesce(summary, '') <> '' then summary when url is not null then operation || ' failed at ' || url || ' (' || case when exception = '' then 'error' else exception end || '): the page is missing'
+      else phase || '/' || operation || ' failed (' || case when exception = '' then 'error' else exception end || '): results may be incomplete' end as note from w where category <> 'website_defect'),
+    d as (select site_id, note, count(*) as times, min(struct_pack(ts := ts, event_id := event_id)) as f from n group by all)
+    select site_id, row_number() over (partition by site_id order by f.ts, f.event_id)::int as place, note, times, f.event_id as event_id from d""")
+def limitation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered distinct notes of every site."""
+    i = F.col("event_id")
+    url = F.when(i % 3 == 0, F.concat(F.lit("https://s"), F.col("site_id").cast("string"), F.lit(".example/"), (i % 4).cast("string")))
+    summary = F.when(i % 5 == 0, F.concat(F.lit("Budget "), F.col("status").cast("string")))
+    events = _events(spark, sf_dir).withColumns({"operation": F.lit("fetch"), "url": url, "summary": summary})
+    return G.limitation_notes(events)
+
+
+@query("""select user_id as site_id, count(*) as calls, sum(length(props))::bigint as chars, sum(ceil(length(props) / 4))::bigint as tokens, count(*) filter (event_type in ('view', 'click')) as ok,
+    count(*) filter (event_type = 'error') as failed, count(*) filter (event_type not in ('view', 'click', 'error')) as refused from events group by 1""")
+def telemetry_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events standing for calls."""
+    status = F.when(F.col("event_type").isin("view", "click"), "ok").when(F.col("event_type") == "error", "failed").otherwise("refused")
+    return G.telemetry(table(spark, sf_dir, "events").select(F.col("user_id").alias("site_id"), F.length("props").alias("chars"), status.alias("status")))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import urls as U
-from ..sources import web
+from ..sources import capture, web
 from ..streaming import saturation, throttle
 from .pages import BARE, HOST
 from .registry import query, table
@@ -29,8 +32,11 @@ def site_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select {HOST} as host, count(*) as pages, sum(length(html))::bigint as chars from pages group by 1")
 def capture_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Captured pages and bytes per host."""
-    return table(spark, sf_dir, "pages").groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"), F.sum(F.length("html")).alias("chars"))
+    """Pages written as a capture and read back through the source, counted per host."""
+    root = f"{scratch.shared_dir(spark)}/sitelens/capture-{uuid.uuid4().hex}"
+    capture.write(capture.captured(table(spark, sf_dir, "pages")), root)
+    back = capture.read(spark, root)
+    return back.groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"), F.sum(F.length("html")).alias("chars"))
 
 
 _IDLE = 24 * 3600 * 1000

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators.templates import templates
+from ..spread import ranked
 from .registry import query, table
 
 HOST = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
@@ -64,13 +65,14 @@ def page_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     greatest(0, 100 - case when bool_and(nav_landmarks = 0 and internal_links < 2) then 22 else 0 end)::int as health,
     row_number() over (order by bool_and(nav_landmarks = 0 and internal_links < 2) desc, count(*) desc, site)::int as rank from facts group by site""")
 def site_navigation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sites whose every page lacks navigation, ranked; the rank runs over one row per site."""
+    """Sites whose every page lacks navigation, ranked by ranges, so no task holds all sites."""
     stranded = (F.col("nav_landmarks") == 0) & (F.col("internal_links") < 2)
     sites = page_facts(table(spark, sf_dir, "pages")).groupBy("site").agg(
         F.count("*").alias("pages"), F.count_if(stranded).alias("stranded"), F.bool_and(stranded).alias("dead_end"), F.sum("words").alias("words"),
     )
     sites = sites.withColumn("health", F.greatest(F.lit(0), F.lit(100) - F.when(F.col("dead_end"), 22).otherwise(0)))
-    return sites.withColumn("rank", F.row_number().over(W.orderBy(F.desc("dead_end"), F.desc("pages"), "site")))
+    placed = ranked(sites.withColumn("_all", F.lit(0)), "_all", [F.desc("dead_end"), F.desc("pages"), F.asc("site")], "navigation")
+    return placed.withColumn("rank", (F.col("rank") + 1).cast("int")).drop("_all", "group_rows")
 
 
 @query(f"""with {FACTS}, s as (select site, count(*) as n, bool_or(has_footer) as footer, bool_or(has_cta) as cta, bool_or(breadcrumbs) as crumbs, sum(generic_anchors) as generic,
@@ -224,11 +226,12 @@ def stratified_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates(pages).select("page_id", "site", "template", turn.alias("turn"))
 
 
-@query(f"""select site, count(*) as pages, sha256('v1' || chr(0) || string_agg(row, chr(0) order by row) || chr(0)) as snapshot from (
-    select {HOST} as site, url || '|200|' || html as row from pages) group by site""")
+@query(f"""with d as (select {HOST} as site, sha256(url || '|200|' || html) as h from pages)
+    select site, count(*) as pages, sha256('v2|' || count(*) || {" || ".join(f"'|' || sum(('0x' || substr(h, {8 * i + 1}, 8))::bigint)::bigint" for i in range(8))}) as snapshot from d group by site""")
 def snapshot_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A site's identity; the body of a site is one value by definition."""
-    rows = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("site"), F.concat_ws("|", "url", F.lit("200"), "html").alias("row"))
-    whole = rows.groupBy("site").agg(F.count("*").alias("pages"), F.array_sort(F.collect_list("row")).alias("r"))
-    joined = F.concat(F.lit("v1\0"), F.array_join("r", "\0"), F.lit("\0"))
-    return whole.select("site", "pages", F.sha2(joined, 256).alias("snapshot"))
+    """A site's identity whatever the order of its pages: a digest a page, summed in eight words of 32 bits map-side, so no row holds a site."""
+    row = F.concat_ws("|", "url", F.lit("200"), F.coalesce("html", F.lit("")))
+    digests = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("site"), F.sha2(row, 256).alias("h"))
+    words = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"w{i}") for i in range(8)]
+    sums = digests.groupBy("site").agg(F.count("*").alias("pages"), *words)
+    return sums.select("site", "pages", F.sha2(F.concat_ws("|", F.lit("v2"), "pages", *(f"w{i}" for i in range(8))), 256).alias("snapshot"))

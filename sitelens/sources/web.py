@@ -146,18 +146,6 @@ def fetch_table(urls: DataFrame, fetch: Callable[[str], Answer] = http_fetch, in
     return sited.repartition("site_id").sortWithinPartitions("site_id", "seq").mapInPandas(work, SCHEMA)
 
 
-def capture(spark: SparkSession, root: str, meta: str = "capture.json") -> DataFrame:
-    """Pages of a capture: one folder a site with its record ``meta`` and page files, read by Spark alone.
-
-    Spark's readers skip names that start with an underscore; records so named need another name first.
-    """
-    meta = spark.read.option("multiLine", True).json(f"{root}/*/{meta}")
-    pages = meta.select("slug", F.explode("pages").alias("p")).select("slug", "p.file", F.col("p.final_url").alias("url"), F.col("p.status").alias("status_code"), F.col("p.content_type").alias("content_type"), F.col("p.is_entry").alias("is_entry"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").load(root)
-    files = files.select(F.regexp_extract("path", "([^/]+)/([^/]+)$", 1).alias("slug"), F.regexp_extract("path", "([^/]+)$", 1).alias("file"), F.decode("content", "UTF-8").alias("html"))
-    return pages.join(files, ["slug", "file"], "left")
-
-
 def gold(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sites, expected findings, expected advice) from JSON labels."""
     g = spark.read.option("multiLine", True).json(path)
@@ -177,19 +165,6 @@ def site_list(urls: DataFrame) -> DataFrame:
     return first.withColumn("n", n).select("seq", "url", F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), F.col("n").cast("string"))).alias("slug"))
 
 
-def rewrite_links(html: str, url: str) -> str:
-    """Anchors on the page's own host become root-relative."""
-    host = urlparse(url).netloc.lower().removeprefix("www.")
-
-    def local(m: re.Match) -> str:
-        target = urlparse(m.group(2))
-        if target.netloc.lower().removeprefix("www.") != host:
-            return m.group(0)
-        return m.group(1) + (target.path or "/") + (f"?{target.query}" if target.query else "") + (f"#{target.fragment}" if target.fragment else "") + m.group(3)
-
-    return re.sub(r"""(<a\b[^>]*?\bhref=["'])(https?://[^"']*)(["'])""", local, html, flags=re.I)
-
-
 def write_reports(findings: DataFrame, path: str) -> None:
     """One JSON report per site."""
     report = findings.groupBy("site_id").agg(F.collect_list(F.struct(*[c for c in findings.columns if c != "site_id"])).alias("findings"))

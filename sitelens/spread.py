@@ -29,15 +29,16 @@ def ranked(rows: DataFrame, group: str, order: list[Column], label: str) -> Data
     Rows are dealt to tasks by ranges of (group, order), so a group of any size
     takes many; a stretch's place is the sum of the stretches before it, one row
     for each (group, task). ``order`` should end in a unique column, which also
-    spreads rows that are equal before it. ``group`` has no nulls.
+    spreads rows that are equal before it. Null groups are one group.
     """
     cut = rows.repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id())
     cut = scratch.table(cut, f"{label}-cut")
     counts = cut.groupBy(group, "_part").agg(F.count("*").alias("_n"))
     upto = W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = counts.select(group, "_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"), F.sum("_n").over(W.partitionBy(group)).alias("group_rows"))
+    starts = counts.select(F.col(group).alias("_group"), F.col("_part").alias("_at"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"), F.sum("_n").over(W.partitionBy(group)).alias("group_rows"))
     here = F.row_number().over(W.partitionBy(group, "_part").orderBy(*order)) - 1
-    return cut.withColumn("_here", here).join(starts, [group, "_part"]).withColumn("rank", F.col("_start") + F.col("_here")).drop("_part", "_here", "_start")
+    met = cut.withColumn("_here", here).join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_at")))
+    return met.withColumn("rank", F.col("_start") + F.col("_here")).drop("_part", "_here", "_start", "_group", "_at")
 
 
 def components(edges: DataFrame, label: str) -> DataFrame:

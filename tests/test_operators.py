@@ -135,15 +135,9 @@ def test_web_source(spark):
     rows = {r.url: r for r in df.collect()}
     assert len(rows) == 4 and rows["http://a.test/1"].html == "<p>é</p>" and rows["http://b.test/zip"].html == "<p>zip</p>"
     assert rows["http://a.test/boom"].status_code is None and "down" in rows["http://a.test/boom"].error and rows["http://b.test/busy"].attempts == 3
-    assert web.rewrite_links('<a href="https://www.a.test/x?q#f">', "http://a.test/") == '<a href="/x?q#f">'
 
 
-def test_capture_and_gold(spark, tmp_path):
-    site = tmp_path / "corpus" / "kettle"
-    site.mkdir(parents=True)
-    (site / "index.html").write_text("<p>hello</p>")
-    (site / "capture.json").write_text(json.dumps({"slug": "kettle", "pages": [{"file": "index.html", "final_url": "http://k/", "status": 200, "content_type": "text/html", "is_entry": True}]}))
-    assert web.capture(spark, str(tmp_path / "corpus")).first().html == "<p>hello</p>"
+def test_gold(spark, tmp_path):
     (tmp_path / "gold.json").write_text(json.dumps({"site_id": "kettle", "expected_findings": [{"category": "rendering", "severity": "high"}], "expected_proactive": ["add a feed"]}))
     sites, findings, advice = web.gold(spark, str(tmp_path / "gold.json"))
     assert sites.first().max_acceptable_findings == 5 and findings.first().category == "rendering" and advice.first().item == "add a feed"
