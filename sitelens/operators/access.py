@@ -127,14 +127,6 @@ def bfs_depth(links: DataFrame, entries: DataFrame, max_depth: int | None = None
     return reached
 
 
-def requeue(sitemap_pages: DataFrame, fetched: DataFrame, limit: int = 20) -> DataFrame:
-    """Sitemap pages not fetched yet, by canonical key, useful ones only, ``limit`` a site."""
-    todo = sitemap_pages.withColumn("key", U.canonical_key(F.col("page"))).filter(~U.low_value(F.col("page")) & ~U.path(F.col("page")).rlike(U.SEED_ASSETS))
-    known = fetched.select("site_id", U.canonical_key(F.col("url")).alias("key")).distinct()
-    left = todo.join(known, ["site_id", "key"], "left_anti")
-    return left.withColumn("n", F.row_number().over(W.partitionBy("site_id").orderBy("rank"))).filter(F.col("n") <= limit).select("site_id", "page", "n")
-
-
 def throttled(pages: DataFrame) -> DataFrame:
     """Per site how many answers were 401, 403 or 429, and whether that looks like a rate limit (some page was read)."""
     hit = F.col("status_code").isin(401, 403, 429)

@@ -175,3 +175,13 @@ def boilerplate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbers_and_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P40."""
     return _docs(spark, sf_dir).select("doc_id", T.numbers(F.col("text")).alias("numbers"), F.sha2(T.quote_form(F.col("text")), 256).alias("quote_sha256"))
+
+
+_WINDOW = "substr(trim(regexp_extract(text, '(?s).{{0,40}}?(?i:{0}).{{0,60}}')), 1, 200)"
+
+
+@query(f"select doc_id, {_WINDOW.format('nicht|que |with[a-z]*')} as quote from documents where regexp_matches(text, '(?i)nicht|que |with[a-z]*')")
+def quote_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands around the first match of a pattern."""
+    docs = _docs(spark, sf_dir).filter(F.col("text").rlike("(?i)nicht|que |with[a-z]*"))
+    return docs.select("doc_id", T.quote_window(F.col("text"), "nicht|que |with[a-z]*").alias("quote"))

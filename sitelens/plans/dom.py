@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import urls as U
+from .. import scratch
 from ..operators import adjudicate as A
 from ..operators import detect as D
 from ..operators import dom
@@ -22,13 +22,13 @@ def parsed(pages: DataFrame) -> DataFrame:
 @query()
 def dom_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P1-P14 P19 P21-P23 P25."""
-    return dom.page_features(table(spark, sf_dir, "pages")).drop("content", "body", "blocks")
+    return dom.page_features(table(spark, sf_dir, "pages")).drop("content", "body")
 
 
 @query()
 def site_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D3 D5-D13 over every site, from one parse."""
-    pages = parsed(table(spark, sf_dir, "pages")).persist()
+    pages = scratch.table(parsed(table(spark, sf_dir, "pages")), "parsed")
     return D.all_findings(pages)
 
 
@@ -45,13 +45,6 @@ def entity_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.site_names(parsed(table(spark, sf_dir, "pages")))
 
 
-@query()
-def section_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leaf blocks of pages and how many pages of a site have each."""
-    f = dom.page_features(table(spark, sf_dir, "pages")).select(U.host(F.col("url")).alias("site_id"), "page_id", F.explode(F.array_distinct("blocks")).alias("b"))
-    return f.filter(F.length("b") >= 40).groupBy("site_id", F.substring(F.sha2("b", 256), 1, 16).alias("digest")).agg(F.count("*").alias("pages"))
-
-
 @query()
 def adjudicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-valued labels of every site from the same parse."""

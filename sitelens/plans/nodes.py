@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import urls as U
 from ..operators import nodes as N
-from .pages import COLLAPSE
+from .pages import COLLAPSE, HOST
 from .registry import query, table
 
 
@@ -49,7 +50,7 @@ _FIRST = ", ".join(f"min(struct_pack(pos := pos, ends := ends)) filter (kind = '
 _INNER = "kind = 'open' and tag in ('section', 'article', 'div')"
 
 
-@query(f"""with {NODES}, rt as (select page_id, coalesce({_FIRST}) as root from nodes where not gone group by page_id),
+BLOCKS = f"""{NODES}, rt as (select page_id, coalesce({_FIRST}) as root from nodes where not gone group by page_id),
     kp as materialized (select n.* from nodes n join rt using (page_id) where not gone and (root is null or (pos >= root.pos and pos <= root.ends))),
     hd as (select page_id, pos as h, ends as te from kp where kind = 'open' and {_in('tag', N.HEADINGS)}),
     bx as (select page_id, h, te, max(struct_pack(b := pos, ends := ends, tag := tag, token := token)) as box from hd left join (select * from kp where kind = 'open' and {_in('tag', N.BOXES)}) k using (page_id) where pos is null or (pos < h and h <= ends) group by all),
@@ -63,9 +64,21 @@ _INNER = "kind = 'open' and tag in ('section', 'article', 'div')"
     br as (select x.page_id, x.pos, x.t, max(struct_pack(pos := l.pos, ends := l.ends, tag := l.tag, token := l.token)) as leaf from tx x left join lf l on l.page_id = x.page_id and l.pos <= x.pos
       where not exists (select 1 from hd where hd.page_id = x.page_id) group by all),
     bi as (select *, coalesce(leaf.ends >= pos, false) as inn from br), ba as (select *, bool_or(inn) over (partition by page_id) as anyin from bi),
-    bb as (select page_id, case when inn then leaf.pos else 0 end as spot, case when inn then leaf.tag else 'body' end as tag, case when inn then leaf.token else '' end as token, string_agg(t, ' ' order by pos) as text from ba where inn or not anyin group by all)
-    select page_id, pos, selector, heading, case when body = '' then heading else body end as text from td where heading <> '' or body <> '' union all
-    select page_id, spot, {_SELECTOR}, '', text from bb""")
+    bb as (select page_id, case when inn then leaf.pos else 0 end as spot, case when inn then leaf.tag else 'body' end as tag, case when inn then leaf.token else '' end as token, string_agg(t, ' ' order by pos) as text from ba where inn or not anyin group by all),
+  blocks as (select page_id, pos, selector, heading, case when body = '' then heading else body end as text from td where heading <> '' or body <> '' union all
+    select page_id, spot, {_SELECTOR}, '', text from bb)"""
+
+
+@query(f"with {BLOCKS} select * from blocks")
 def content_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heading and leaf blocks of every page's content root, hidden and consent subtrees apart."""
     return N.content_blocks(N.node_table(table(spark, sf_dir, "pages")))
+
+
+@query(f"""with {BLOCKS} select site_id, substr(sha256(text), 1, 16) as digest, count(*) as pages from (select distinct {HOST} as site_id, page_id, text from blocks join pages using (page_id) where length(text) >= 40) group by all""")
+def section_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pages of a site have each block of 40 characters or more."""
+    pages = table(spark, sf_dir, "pages")
+    found = N.content_blocks(N.node_table(pages)).filter(F.length("text") >= 40).select("page_id", F.sha2("text", 256).alias("h")).distinct()
+    sited = found.join(pages.select("page_id", U.host(F.col("url")).alias("site_id")), "page_id")
+    return sited.groupBy("site_id", F.substring("h", 1, 16).alias("digest")).agg(F.count("*").alias("pages"))
