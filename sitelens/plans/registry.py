@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_PLANS = ("pages", "nodes", "crawl", "observations", "documents", "compose", "scoring", "advice", "dates", "gate", "access", "dom", "evidence", "reports", "live")
+_PLANS = ("pages", "nodes", "crawl", "observations", "documents", "compose", "scoring", "playbook", "advice", "dates", "gate", "access", "dom", "evidence", "reports", "live")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

@@ -39,3 +39,12 @@ def test_gate(spark):
     assert set(O.CODES) >= {r.reject_code for r in got.values() if r.reject_code}
     none = O.gate(spark.createDataFrame([], CLAIM), sections, urls, states)
     assert none.collect() == []
+
+
+def test_remedies_default_and_size_check(spark):
+    from sitelens.operators import playbook as P
+
+    found = spark.createDataFrame([("a", "freshness"), ("b", "other"), ("c", None)], "id string, category string")
+    for small in (0, 100):  # joined by a shuffle, and broadcast
+        got = sorted((r.id, r.step, r.steps, r.owner, r.lever is not None) for r in P.remedies(found, P.playbook(spark), small).collect())
+        assert got == [("a", 1, 2, "content", True), ("a", 2, 2, "content", True), ("b", 0, 0, "engineering", False), ("c", 0, 0, "engineering", False)]
