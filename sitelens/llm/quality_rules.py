@@ -40,8 +40,9 @@ def signals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", strat
 
     3-word windows are found by a 64-bit hash with the window's position in its
     low bits: after one primitive sort, equal windows are neighbours, also where
-    a window of equal hash stands between them, and neighbours are compared word
-    by word. Cost is n log n in the text's words.
+    one window of equal hash stands between them, and neighbours are compared word
+    by word. (Two strangers of that hash between them would hide a pair: three
+    collisions of 64 - log2(n) bits in one text.) Cost is n log n in its words.
     """
     text = F.col("_text")
     base = df.select(df[id_col].alias(id_col), df[stratum_col].alias("stratum"), whole(df[text_col]).alias("_text"), *carry)
