@@ -65,14 +65,15 @@ class _Sums:
 
     def __init__(self, left: np.ndarray, most: int) -> None:
         self.left = left
-        lengths = np.flatnonzero(left[: most + 1])
+        # small integers: the driver holds most^2 / 4 of them
+        lengths = np.flatnonzero(left[: most + 1]).astype(np.int16 if most < 1 << 14 else np.int32)
         a, b = np.meshgrid(lengths, lengths, indexing="ij")
         ok = (a >= b) & (a + b <= most)
         a, b = a[ok], b[ok]
         order = np.lexsort((a, a + b))
         sums, large = (a + b)[order], a[order]
         self.pairs = self._lists(sums, large, most)
-        some = np.flatnonzero([len(p) > 0 for p in self.pairs])
+        some = np.flatnonzero([len(p) > 0 for p in self.pairs]).astype(lengths.dtype)
         c, s = np.meshgrid(lengths, some, indexing="ij")
         # the pair's smaller part is at most half of its sum, and c at most that
         ok = (c + s <= most) & (2 * c <= s)
