@@ -35,6 +35,17 @@ def merge_findings(findings: DataFrame) -> DataFrame:
     return merged.select("site_id", "category", "w.*", "locations", (F.col("n") - 1).alias("corroborations"))
 
 
+def corroborations(findings: DataFrame, merged: DataFrame) -> DataFrame:
+    """What each merged finding won over, a row each: site_id, category, seq (the winner's), loser, detected_by, severity, evidence.
+
+    Winners are few, so their join spreads over the losers' tasks; null sites and categories meet null-safely.
+    """
+    won = merged.select(F.col("site_id").alias("_site"), F.col("category").alias("_category"), F.col("seq").alias("_won"))
+    met = findings.join(won, F.col("site_id").eqNullSafe(F.col("_site")) & F.col("category").eqNullSafe(F.col("_category")))
+    lost = met.filter(F.col("seq") != F.col("_won"))
+    return lost.select("site_id", "category", F.col("_won").alias("seq"), F.col("seq").alias("loser"), "detected_by", "severity", "evidence")
+
+
 def prioritise(findings: DataFrame) -> DataFrame:
     """With four findings or more and a blocking one, high secondary findings become medium; then rank and id."""
     site = W.partitionBy("site_id")

@@ -51,6 +51,14 @@ def merge_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir)
 
 
+@query(f"""with {MERGED} select f.site_id, f.category, m.seq, f.seq as loser, f.detected_by, f.severity, f.evidence from findings f
+    join merged m on m.site_id is not distinct from f.site_id and m.category is not distinct from f.category where f.seq <> m.seq""")
+def merge_corroborations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings that merged ones won over."""
+    found = findings_of(table(spark, sf_dir, "documents"))
+    return C.corroborations(found, C.merge_findings(found))
+
+
 @query(f"with {PRIORITISED} select site_id, rank, 'MKT-' || {V.sql_case('category', V.ID_PREFIX)} || '-' || lpad(rank::varchar, 2, '0') as id, severity, down_ranked, seq from prioritised")
 def prioritise_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W1 C3."""
