@@ -112,11 +112,12 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int,
 
     From the longest length down, gaps are filled exactly by single lengths, then
     what is left by indexed sums of two, then of three, as often as the counts
-    allow; the rest goes best fit, longest first. Where sums of three use up the
-    short pieces (many lengths, each rare), sums of up to two may need fewer
-    sequences: of both plans that with fewer is taken, that with triples on ties.
+    allow; the rest goes best fit, longest first. Where sums of three or two use up
+    the short pieces (many lengths, each rare), fewer parts need fewer sequences: of
+    the plans with sums of up to three, two and one lengths the one with the fewest is
+    taken, that with more parts on ties. All fill gaps exactly before best fit.
     """
-    return min((_plan(counts, capacity, parts) for parts in (3, 2)), key=lambda plan: sum(n for _, n in plan))
+    return min((_plan(counts, capacity, parts) for parts in (3, 2, 1)), key=lambda plan: sum(n for _, n in plan))
 
 
 def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
