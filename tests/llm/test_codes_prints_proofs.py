@@ -134,10 +134,10 @@ def test_trees_keep_every_pair(spark):
     r = random.Random(11)
     points = sorted({0, *family(r, 600, 3), *family(r, 200, 9), *(r.getrandbits(64) for _ in range(900))})
     df = spark.createDataFrame([(p - 2**64 if p >= 2**63 else p,) for p in points], "fp long").repartition(5)
-    members = simhash.shards(df, leaf=64)
+    members = simhash.shards(df, leaf=12)  # over 256 leaves: trees of trees
     sizes = Counter(x.shard for x in members.collect())
-    assert len(sizes) > 20
-    edges = {(x.a % 2**64, x.b % 2**64) for x in simhash.links(df, leaf=64).collect()}
+    assert len(sizes) > simhash.FAN
+    edges = {(x.a % 2**64, x.b % 2**64) for x in simhash.links(df, leaf=12).collect()}
     at = {p: i for i, p in enumerate(points)}
     label = list(range(len(points)))
 
