@@ -107,8 +107,9 @@ class CaptureWriter(DataSourceArrowWriter):
                 if row["robots_txt"] is not None and "robots" not in site:
                     _put(files, f"{root}/{row['slug']}/robots.txt", row["robots_txt"])
                     site["robots"] = True
-                if row["file"] or row["url"]:
-                    listed = {k: row[k] for k in _LISTED} | {"file": row["file"] and f"{attempt}/{row['file']}"}
+                if any(row[k] is not None for k in _LISTED):
+                    # numbered, as a site may have a URL twice
+                    listed = {k: row[k] for k in _LISTED} | {"file": row["file"] and f"{attempt}/{len(site['pages'])}-{row['file']}"}
                     if row["html"] is not None:
                         _put(files, f"{root}/{row['slug']}/{listed['file']}", row["html"])
                     site["pages"].append(listed)
@@ -165,18 +166,21 @@ def local_links(html: Column, url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(rooted, "\u0001(?=/)", ""), "\u0001", "/")
 
 
-def captured(pages: DataFrame, robots: DataFrame | None = None) -> DataFrame:
-    """Pages (url, html, and status_code, content_type, is_entry, elapsed_ms where there are) as rows of the source; ``robots``: slug, robots_status, robots_txt."""
+def captured(pages: DataFrame, robots: DataFrame | None = None, localize: bool = True) -> DataFrame:
+    """Pages (url, html, and status_code, content_type, is_entry, elapsed_ms where there are) as rows of the source; ``robots``: slug, robots_status, robots_txt.
+
+    Bodies get S12's local links unless ``localize`` is false; pages without a host go to the site "_".
+    """
     have = set(pages.columns)
     kinds = dict(c.split() for c in SCHEMA.split(", "))
     given = lambda c, default: F.col(c) if c in have else F.lit(default).cast(kinds[c]).alias(c)
     url = F.col("url")
     rows = pages.select(
-        U.slug(url).alias("slug"), F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1).alias("site"), U.local_path(url).alias("file"), url, given("status_code", 200),
-        given("content_type", "text/html"), given("is_entry", None), given("elapsed_ms", None), F.when(F.col("html").isNotNull(), local_links(F.col("html"), url)).alias("html"),
+        F.when(U.slug(url) == "", "_").otherwise(U.slug(url)).alias("slug"), F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1).alias("site"), U.local_path(url).alias("file"), url, given("status_code", 200),
+        given("content_type", "text/html"), given("is_entry", None), given("elapsed_ms", None), F.when(F.col("html").isNotNull(), local_links(F.col("html"), url) if localize else F.col("html")).alias("html"),
     )
     # two URLs may want one name
-    name = F.concat(F.substring(F.sha2("url", 256), 1, 12), F.lit("-"), F.regexp_replace("file", "/", "_"))
+    name = F.concat(F.substring(F.sha2(F.coalesce("url", F.lit("")), 256), 1, 12), F.lit("-"), F.substring(F.regexp_replace("file", "/", "_"), -150, 150))
     rows = rows.withColumn("file", F.when(F.col("html").isNotNull(), name))
     if robots is None:
         return rows.withColumns({"robots_status": F.lit(None).cast("int"), "robots_txt": F.lit(None).cast("string")}).select(*_NAMES)
