@@ -27,8 +27,16 @@ GENERIC_TITLES = (
 )
 
 
+#: What SQL's trim takes off: blanks of every script (Unicode Zs), not only the ASCII one.
+BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
+def trim(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def collapse(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, "[ \\t\\n\\r\\f]+", " "))
+    return trim(F.regexp_replace(text, "[ \\t\\n\\r\\f]+", " "))
 
 
 def stripped(html: Column, chrome: bool = False) -> Column:
@@ -59,10 +67,10 @@ def language(html: Column) -> Column:
 
 def brand_segment(text: Column) -> Column:
     """The first segment of a title, the last if the first is generic, a lone one if it has at most five words."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), TITLE_SEPARATOR), F.trim), lambda s: s != "")
-    few = F.size(F.split(F.trim(text), " +")) <= 5
-    many = F.when(F.lower(parts[0]).isin(*GENERIC_TITLES), F.try_element_at(parts, F.lit(-1))).otherwise(F.get(parts, 0))
-    return F.when(F.size(parts) > 1, many).when(few, F.trim(text)).otherwise("")
+    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), TITLE_SEPARATOR), trim), lambda s: s != "")
+    few = F.size(F.split(trim(text), " +")) <= 5
+    many = F.when(F.lower(F.translate(parts[0], "İ", "i")).isin(*GENERIC_TITLES), F.try_element_at(parts, F.lit(-1))).otherwise(F.get(parts, 0))
+    return F.when(F.size(parts) > 1, many).when(few, trim(text)).otherwise("")
 
 
 def source_kind(heading: Column, text: Column, selector: Column) -> Column:
@@ -95,4 +103,4 @@ def quote_form(text: Column) -> Column:
 
 def quote_window(text: Column, pattern: str) -> Column:
     """40 characters before and 60 after the first match, at most 200."""
-    return F.substring(F.trim(F.regexp_extract(text, f"(?s).{{0,40}}?(?i:{pattern}).{{0,60}}", 0)), 1, 200)
+    return F.substring(trim(F.regexp_extract(text, f"(?s).{{0,40}}?(?i:{pattern}).{{0,60}}", 0)), 1, 200)

@@ -162,7 +162,7 @@ def redact_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boilerplate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks that half of a source's documents have; blocks are grouped per document first, so hot ones meet as counts."""
     docs = _docs(spark, sf_dir)
-    blocks = docs.select("source", "doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), F.trim))).alias("b")).filter(F.length("b") >= 40)
+    blocks = docs.select("source", "doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), T.trim))).alias("b")).filter(F.length("b") >= 40)
     once = blocks.select("source", "doc_id", F.sha2("b", 256).alias("digest"))
     counts = once.groupBy("source", "digest").agg(F.count("*").alias("docs")).filter("docs >= 2")
     pages = docs.groupBy("source").agg(F.count("*").alias("pages"))

@@ -185,9 +185,9 @@ _GENERIC = ", ".join(f"'{t}'" for t in T.GENERIC_TITLES)
     length(title) between 3 and 60 and len(regexp_split_to_array(trim(title), ' +')) <= 6 and regexp_matches(title, '[\\p{{Lu}}]') and regexp_matches(title, '[A-Za-z]{{2}}') as acceptable from t""")
 def title_brand_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P28 P30."""
-    t = T.title(F.col("html"))
+    t = F.when(F.col("html").isNotNull(), T.title(F.col("html")))
     pages = table(spark, sf_dir, "pages").select("page_id", t.alias("title"))
-    fit = F.length("title").between(3, 60) & (F.size(F.split(F.trim("title"), " +")) <= 6) & F.col("title").rlike("[\\p{Lu}]") & F.col("title").rlike("[A-Za-z]{2}")
+    fit = F.length("title").between(3, 60) & (F.size(F.split(T.trim(F.col("title")), " +")) <= 6) & F.col("title").rlike("[\\p{Lu}]") & F.col("title").rlike("[A-Za-z]{2}")
     return pages.select("page_id", "title", T.brand_segment(F.col("title")).alias("brand"), fit.alias("acceptable"))
 
 
