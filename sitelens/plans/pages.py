@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..operators.snapshot import snapshots
 from ..operators.templates import templates
 from ..spread import ranked
 from .registry import query, table
@@ -226,12 +227,10 @@ def stratified_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates(pages).select("page_id", "site", "template", turn.alias("turn"))
 
 
-@query(f"""with d as (select {HOST} as site, sha256(url || '|200|' || html) as h from pages)
-    select site, count(*) as pages, sha256('v2|' || count(*) || {" || ".join(f"'|' || sum(('0x' || substr(h, {8 * i + 1}, 8))::bigint)::bigint" for i in range(8))}) as snapshot from d group by site""")
+@query(f"""select site, count(*) as pages, sha256('v1' || chr(0) || string_agg(row, chr(0) order by row) || chr(0)) as snapshot from (
+    select {HOST} as site, url || '|200|' || html as row from pages) group by site""")
 def snapshot_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A site's identity whatever the order of its pages: a digest a page, summed in eight words of 32 bits map-side, so no row holds a site."""
-    row = F.concat_ws("|", "url", F.lit("200"), F.coalesce("html", F.lit("")))
-    digests = table(spark, sf_dir, "pages").select(U.host(F.col("url")).alias("site"), F.sha2(row, 256).alias("h"))
-    words = [F.sum(F.conv(F.substring("h", 8 * i + 1, 8), 16, 10).cast("long")).alias(f"w{i}") for i in range(8)]
-    sums = digests.groupBy("site").agg(F.count("*").alias("pages"), *words)
-    return sums.select("site", "pages", F.sha2(F.concat_ws("|", F.lit("v2"), "pages", *(f"w{i}" for i in range(8))), 256).alias("snapshot"))
+    """A site's identity: the digest of all its pages in order."""
+    url = F.col("url")
+    rows = table(spark, sf_dir, "pages").select(F.when(url.isNotNull(), U.host(url)).alias("site"), F.concat("url", F.lit("|200|"), "html").alias("row"))
+    return snapshots(rows)
