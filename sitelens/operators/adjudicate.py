@@ -20,11 +20,11 @@ def site_measurements(pages: DataFrame, as_of_year: int, robots_blocks: DataFram
     words = F.col("words")
     shell = (words < 60) & (F.col("empty_root") | F.col("filled_by_js") | F.col("noscript_gate"))
     signals = F.col("content").rlike(T.PRICING).cast("int") + F.col("content").rlike(T.CONTACT).cast("int") + F.col("content").rlike(T.COMPANY).cast("int")
-    years = T.years(F.col("body"))
+    years = F.col("years")
     old, new = F.size(F.filter(years, lambda y: y <= as_of_year - 2)), F.size(F.filter(years, lambda y: y >= as_of_year))
-    p = pages.select(
+    p = pages.withColumn("years", T.years(F.col("body"))).select(
         "site_id", "is_entry", "words", "jsonld_ok", "jsonld_broken", "schema_types", "fact_images", "images", "nav_landmarks", "internal_links", shell.alias("shell"),
-        signals.alias("signals"), old.alias("old"), new.alias("new"), (F.col("noindex") & ~U.path(F.col("url")).rlike(U.TRANSACTIONAL_PATH)).alias("noindex"),
+        F.when(F.col("is_entry"), signals).alias("signals"), old.alias("old"), new.alias("new"), (F.col("noindex") & ~U.path(F.col("url")).rlike(U.TRANSACTIONAL_PATH)).alias("noindex"),
     )
     entry = lambda c: F.max(F.when(F.col("is_entry"), c))
     facts = F.size("fact_images")

@@ -67,7 +67,8 @@ def starved() -> Column:
     detail = (F.col("prose_sections") >= 2) | (F.col("words") >= 120)
     families = text.rlike(T.PRICING).cast("int") + text.rlike(T.CONTACT).cast("int") + text.rlike(T.COMPANY).cast("int") + detail.cast("int")
     cause = gap() | F.col("noscript_gate") | (F.length("js_text") > 0) | (F.size("fact_images") >= 3)
-    return (families <= 1) & (F.col("words") < 60) & cause
+    # the patterns over whole texts come last
+    return (F.col("words") < 60) & cause & (families <= 1)
 
 
 def content_extraction(pages: DataFrame) -> DataFrame:
@@ -116,11 +117,12 @@ def entity_identity(pages: DataFrame) -> DataFrame:
 def freshness(pages: DataFrame, as_of_year: int) -> DataFrame:
     """D12 on parsed text: pages without a current year and three stale mentions, founding years apart."""
     text = F.regexp_replace("body", r"(?i)(founded|founding|since|established|est\.|inception|incorporated)\D{0,25}(19|20)\d\d", " ")
-    years = T.years(text)
-    old = F.size(F.filter(years, lambda y: y <= as_of_year - 2))
-    new = F.size(F.filter(years, lambda y: y >= as_of_year))
-    s = pages.select("site_id", "page_id", "url", "is_entry", old.alias("old"), new.alias("new")).filter("new = 0 and old >= 3")
-    s = s.groupBy("site_id").agg(F.sum("old").alias("n"), F.min_by("url", F.struct(~F.col("is_entry"), F.col("page_id"))).alias("page"))
+    dated = pages.select("site_id", "page_id", "url", "is_entry", T.years(text).alias("y"))
+    old, new = F.size(F.filter("y", lambda y: y <= as_of_year - 2)), F.size(F.filter("y", lambda y: y >= as_of_year))
+    s = dated.select("site_id", "page_id", "url", "is_entry", F.when((new == 0) & (old >= 3), old).alias("old"))
+    # no filter on the years: pushed below, it would read every text again
+    stale = F.when(F.col("old").isNotNull(), F.struct(~F.col("is_entry"), F.col("page_id")))
+    s = s.groupBy("site_id").agg(F.sum("old").alias("n"), F.min_by("url", stale).alias("page")).filter("n is not null")
     return s.select("site_id", F.lit("freshness").alias("category"), F.when(F.col("n") >= 8, "high").otherwise("medium").alias("severity"), "n", "page")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import scratch
+from ..functions import urls as U
 from ..operators import adjudicate as A
 from ..operators import detect as D
 from ..operators import dom
@@ -14,9 +15,10 @@ from .registry import query, table
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """Features with site_id and is_entry; markup is dropped by the parse, so only features are shuffled."""
-    sited = dom.page_features(pages)
-    return with_entry(sited).withColumnRenamed("site", "site_id")
+    """Features with site_id and is_entry; every page is parsed once, entries are found from URLs alone and met by page, so no site is one task."""
+    entries = with_entry(pages.select("page_id", "url")).filter("is_entry").select(F.col("site").alias("site_id"), "page_id", "is_entry").distinct()
+    sited = dom.page_features(pages).withColumn("site_id", U.host(F.col("url")))
+    return sited.join(entries, ["site_id", "page_id"], "left").withColumn("is_entry", F.coalesce("is_entry", F.lit(False)))
 
 
 @query()
@@ -42,10 +44,11 @@ def rendering_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def entity_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D11 P38 A7 A8 J11."""
-    return D.site_names(parsed(table(spark, sf_dir, "pages")))
+    return D.site_names(dom.page_features(table(spark, sf_dir, "pages")).withColumn("site_id", U.host(F.col("url"))))
 
 
 @query()
 def adjudicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-valued labels of every site from the same parse."""
-    return A.labels(A.site_measurements(parsed(table(spark, sf_dir, "pages")), 2026))
+    pages = scratch.table(parsed(table(spark, sf_dir, "pages")), "parsed")
+    return A.labels(A.site_measurements(pages, 2026))
