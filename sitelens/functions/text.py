@@ -48,7 +48,43 @@ def stripped(html: Column, chrome: bool = False) -> Column:
 
 def word_count(text: Column) -> Column:
     """Tokens between blanks with a letter or digit of any script."""
-    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\r\\f]+"), lambda w: w.rlike("[\\p{L}\\p{N}]"))).cast("long")
+    # from a token's first letter or digit to its end
+    return F.size(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[\\p{L}\\p{N}][^ \\t\\n\\r\\f]*"), F.lit(0))).cast("long")
+
+
+def _any(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text holds one of the lower-case words in any case, by plain search."""
+
+    def found(t: Column) -> Column:
+        out = t.contains(words[0])
+        for w in words[1:]:
+            out = out | t.contains(w)
+        return out
+
+    return F.exists(F.array(F.lower(text)), found)
+
+
+# PRICING, CONTACT and COMPANY as tests: what must stand in a match is sought first, so that a text is not tried against
+# every alternative at every character; each part begins with the one class of characters it can begin with
+
+
+def has_pricing(text: Column) -> Column:
+    symbol = text.contains("$") | text.contains("€") | text.contains("£") | text.contains("₹")
+    amount = "(?i)[0-9](?<![0-9A-Za-z_].)[0-9,.]*+ ?(?:usd|eur|gbp|inr)(?![0-9A-Za-z_])"
+    rate = text.contains("/") & text.rlike("(?i)/ ?(?:mo|month|yr|year)(?![A-Za-z])")
+    return (symbol & text.rlike("[$€£₹] ?[0-9]")) | rate | text.rlike(amount) | text.rlike("(?i)p(?<![A-Za-z].)er +(?:month|year|user|seat)(?![A-Za-z])")
+
+
+def has_contact(text: Column) -> Column:
+    mail = text.contains("@") & text.rlike("[A-Za-z0-9_.+-]@[A-Za-z0-9_-]+[.][A-Za-z0-9_.]{2}")
+    return mail | text.rlike("[0-9][0-9 ().-]{8,}?[0-9]")
+
+
+def has_company(text: Column) -> Column:
+    words = ("found", "headquarter", "employees", "customers", "clients", "established", "revenue", "arr", "offices", "certified", "iso", "soc", "uptime", "sla")
+    said = "(?i)(?<![A-Za-z])(?:founded|founding|headquarter[a-z]*|employees|customers|clients|established|revenue|arr|offices|certified|iso *[0-9]{4,5}|soc *2|uptime|sla)(?![A-Za-z0-9])"
+    share = text.contains("%") & text.rlike("[0-9] *%")
+    return share | text.rlike("[0-9](?<![0-9].)[0-9]{0,2}(?:,[0-9]{3})+(?![0-9])") | (_any(text, words) & text.rlike(said))
 
 
 def title(html: Column) -> Column:

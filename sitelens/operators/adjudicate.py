@@ -19,7 +19,7 @@ def site_measurements(pages: DataFrame, as_of_year: int, robots_blocks: DataFram
     """One row of measurements per site; ``pages`` as for the detectors, ``robots_blocks``: site_id of sites shut to all or to AI agents."""
     words = F.col("words")
     shell = (words < 60) & (F.col("empty_root") | F.col("filled_by_js") | F.col("noscript_gate"))
-    signals = F.col("content").rlike(T.PRICING).cast("int") + F.col("content").rlike(T.CONTACT).cast("int") + F.col("content").rlike(T.COMPANY).cast("int")
+    signals = T.has_pricing(F.col("content")).cast("int") + T.has_contact(F.col("content")).cast("int") + T.has_company(F.col("content")).cast("int")
     years = F.col("years")
     old, new = F.size(F.filter(years, lambda y: y <= as_of_year - 2)), F.size(F.filter(years, lambda y: y >= as_of_year))
     p = pages.withColumn("years", T.years(F.col("body"))).select(

@@ -65,7 +65,7 @@ def starved() -> Column:
     """At most one family of facts, under 60 words, and a cause."""
     text = F.col("content")
     detail = (F.col("prose_sections") >= 2) | (F.col("words") >= 120)
-    families = text.rlike(T.PRICING).cast("int") + text.rlike(T.CONTACT).cast("int") + text.rlike(T.COMPANY).cast("int") + detail.cast("int")
+    families = T.has_pricing(text).cast("int") + T.has_contact(text).cast("int") + T.has_company(text).cast("int") + detail.cast("int")
     cause = gap() | F.col("noscript_gate") | (F.length("js_text") > 0) | (F.size("fact_images") >= 3)
     # the patterns over whole texts come last
     return (F.col("words") < 60) & cause & (families <= 1)

@@ -28,7 +28,7 @@ def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def families(text: F.Column) -> dict[str, F.Column]:
     """P20: which fact families a text has."""
     return {
-        "company_facts": text.rlike(T.COMPANY), "contact": text.rlike(T.CONTACT), "pricing": text.rlike(T.PRICING), "product_detail": T.word_count(text) >= 120,
+        "company_facts": T.has_company(text), "contact": T.has_contact(text), "pricing": T.has_pricing(text), "product_detail": T.word_count(text) >= 120,
     }
 
 
