@@ -44,9 +44,33 @@ def _cards(text: Column) -> Column:
     return F.aggregate(cards, text, lambda out, m: F.replace(out, m, F.lit("[REDACTED:card_number]")))
 
 
+#: Words without one of which no credential pattern matches, in lower case; those of the second row also need = or :.
+HINTS = ("sk-", "akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "eyj", "bearer", "-----begin ")
+ASSIGNED = ("sid", "session", "api", "secret", "passw", "token", "access")
+DIGITS = r"\d(?:\d{2}[ \-]\d{3}|(?:[ \-]?\d){12})"
+
+
+def _hinted(text: Column) -> Column:
+    """Whether a credential pattern may match: fixed words, found by plain search in the text folded as Java's Unicode case does."""
+
+    def any_of(t: Column, words: tuple[str, ...]) -> Column:
+        out = t.contains(words[0])
+        for w in words[1:]:
+            out = out | t.contains(w)
+        return out
+
+    folded = F.lower(F.translate(text, "\u017f\u212a\u0130\u0131", "skii"))
+    return F.exists(F.array(folded), lambda t: any_of(t, HINTS) | (any_of(t, ("=", ":")) & any_of(t, ASSIGNED)))
+
+
 def redact(text: Column, keep_emails: bool = False) -> Column:
-    """Every pattern in order; null becomes empty."""
-    out = F.coalesce(text, F.lit(""))
+    """Every pattern in order; null becomes empty. A text that no pattern can match is left without trying them."""
+    text = F.coalesce(text, F.lit(""))
+    may = text.contains("@") | _hinted(text) | text.rlike(_unicode(DIGITS))
+    return F.when(may, _every(text, keep_emails)).otherwise(text)
+
+
+def _every(out: Column, keep_emails: bool) -> Column:
     for label, pattern in PATTERNS:
         if label == "card_number":
             out = _cards(out)
@@ -67,7 +91,7 @@ def contains_secret(text: Column) -> Column:
     for label, pattern in PATTERNS:
         if label not in PERSONAL:
             out = out | text.rlike(_unicode(pattern))
-    return out
+    return _hinted(text) & out
 
 
 def scrub(message: Column, limit: int = 300) -> Column:
