@@ -27,6 +27,8 @@ HIDDEN = "(?i)([ \t\n]hidden[ \t\n=>/]|aria-hidden[ \t\n]*=[ \t\n]*[\"']?true|st
 IMPLIED = ("p", "li", "td", "th", "tr", "dt", "dd", "option")
 BOXES = ("section", "article", "div", "main", "body")
 HEADINGS = ("h1", "h2", "h3")
+#: Bytes of bodies whose nodes one task takes.
+TASK_BYTES = 2 << 20
 _RAW = "|".join(DROPPED)
 TOKEN = f"(?is)<!--.*?-->|<![^>]*>|<(?:{_RAW})[ \t\n>][^>]*>?.*?</(?:{_RAW})[ \t\n]*>|</?[a-z][^>]*>|[^<]+|<"
 NAME = "^</?([A-Za-z][A-Za-z0-9]*)"
@@ -48,7 +50,10 @@ def node_table(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     tag = F.lower(F.regexp_extract("token", NAME, 1))
     closing, raw = F.startswith("token", F.lit("</")), F.rlike("token", F.lit(f"(?is)^<(?:{_RAW})[ \t\n>].*</"))
     kind = F.when(F.startswith("token", F.lit("<!")) | raw, "none").when(tag == "", "text").when(closing, "close").when(tag.isin(*VOID) | F.endswith("token", F.lit("/>")), "void").otherwise("open")
-    rows = tokens.withColumn("tag", tag).withColumn("kind", kind).filter("kind <> 'none'").repartition("page_id")
+    rows = tokens.withColumn("tag", tag).withColumn("kind", kind).filter("kind <> 'none'")
+    # as many tasks as the bodies need: the windows' sorts hold a task's rows several times over
+    size = pages.agg(F.sum(F.octet_length(html_col))).first()[0] or 0
+    rows = rows.repartition(max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES)), "page_id")
     name = W.partitionBy("page_id", "tag").orderBy("pos")
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
     depth = F.sum(step).over(name.rowsBetween(W.unboundedPreceding, 0))
