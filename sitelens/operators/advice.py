@@ -46,18 +46,17 @@ def advice_of(reports: DataFrame, id_col: str = "site_id", report_col: str = "re
     text. Elements that are neither strings nor objects, blank texts, null
     fields and texts that aren't JSON give nothing.
     """
-    v = reports.select(F.col(id_col).alias("id"), F.try_parse_json(F.col(report_col)).alias("v")).filter("v is not null")
-    lists = F.array(*(F.struct(F.lit(f).alias("field"), _items(_at(F.col("v"), f"$.{f}")).alias("items")) for f in FIELDS))
-    told = v.select("id", F.explode(lists).alias("l")).select("id", "l.field", F.posexplode("l.items").alias("at", "item"))
-    told = told.select("id", F.lit("rec").alias("kind"), "field", "at", _text(F.col("item")).alias("text"))
-    found = v.select("id", F.posexplode(_items(_at(F.col("v"), "$.findings"))).alias("at", "item")).filter(_kind(F.col("item")).startswith("OBJECT"))
-    raw = _at(F.col("item"), "$.suggested_action")
+    # one-element array: a binding, so that a report is made and parsed once, not once for each use of v
+    v = reports.select(F.col(id_col).alias("id"), F.explode(F.array(F.try_parse_json(F.col(report_col)))).alias("v")).filter("v is not null")
+    lists = F.array(*(F.struct(F.lit(f).alias("field"), _items(_at(F.col("v"), f"$.{f}")).alias("items")) for f in (*FIELDS, "findings")))
+    each = v.select("id", F.explode(lists).alias("l")).select("id", "l.field", F.posexplode("l.items").alias("at", "item"))
+    item, told = F.col("item"), lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    raw = _at(item, "$.suggested_action")
     action = F.when(_kind(raw).startswith("OBJECT"), _said(_at(raw, "$.summary"))).otherwise(_said(raw))
-    found = found.select("id", "at", _said(_at(F.col("item"), "$.title")).alias("title"), action.alias("action"), F.lower(_said(_at(F.col("item"), "$.severity"))).alias("severity"))
-    both = F.array(
-        F.when(F.col("severity").isin(*ADVISORY), F.struct(F.lit("rec").alias("kind"), F.lit(True).alias("ok"))),
-        F.when(F.trim("action") != "", F.struct(F.lit("action").alias("kind"), F.lit(True).alias("ok"))),
-    )
-    found = found.select("id", F.explode(F.array_compact(both)).alias("k"), "at", "title", "action")
-    found = found.select("id", "k.kind", F.lit("findings").alias("field"), "at", F.concat_ws(" ", "title", "action").alias("text"))
-    return told.unionByName(found).filter(F.trim("text") != "").withColumnRenamed("id", id_col)
+    both = F.concat_ws(" ", _said(_at(item, "$.title")), action)
+    low = F.lower(_said(_at(item, "$.severity"))).isin(*ADVISORY)
+    found = F.filter(F.array(F.when(low, told("rec", both)), F.when(F.trim(action) != "", told("action", both))), lambda t: t.isNotNull())
+    # findings that are no objects tell nothing
+    all_ = F.when(F.col("field") != "findings", F.array(told("rec", _text(item)))).when(_kind(item).startswith("OBJECT"), found)
+    out = each.select("id", "field", "at", F.explode(all_).alias("t")).select("id", "t.kind", "field", "at", "t.text")
+    return out.filter(F.trim("text") != "").withColumnRenamed("id", id_col)
