@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import vocabulary as V
 
 
@@ -96,9 +97,9 @@ def prf(matched: DataFrame, by: list[str], empty: float = 1.0) -> DataFrame:
 
 
 def keywords(text: Column) -> Column:
-    """Words of three characters or more that are no stopwords, distinct and sorted."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9-]+"), F.lit(0))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda w: (F.length(w) > 2) & ~w.isin(*V.STOPWORDS))))
+    """Distinct words of three characters or more that are no stopwords."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9-]{3,}"), F.lit(0))
+    return F.array_distinct(F.filter(found, lambda w: ~w.isin(*V.STOPWORDS)))
 
 
 def proactive(expected: DataFrame, advice: DataFrame) -> DataFrame:
@@ -106,17 +107,22 @@ def proactive(expected: DataFrame, advice: DataFrame) -> DataFrame:
 
     ``expected``: site_id, item; ``advice``: site_id, text, kind (rec or
     action). Only pairs of one site that share a keyword are compared, found by
-    an equi-join on (site, keyword); a pair sharing none has overlap 0.
+    an equi-join on (site, keyword); a pair sharing none has overlap 0. Items'
+    keywords are a table of known size, so that texts' keywords are shuffled
+    only where items are too many to broadcast; what a text shares with an item
+    is counted in its own task first.
     """
-    want = expected.select("site_id", "item", keywords(F.col("item")).alias("k")).filter(F.size("k") > 0).distinct()
-    said = advice.select("site_id", "kind", F.xxhash64("text").alias("t"), keywords(F.col("text")).alias("k")).distinct()
-    w = want.select("site_id", "item", F.size("k").alias("n"), F.explode("k").alias("word"))
-    shared = w.join(said.select("site_id", "kind", "t", F.explode("k").alias("word")), ["site_id", "word"])
-    best = shared.groupBy("site_id", "item", "kind", "t").agg((F.count("*") / F.first("n")).alias("o")).groupBy("site_id", "item")
+    want = expected.select("site_id", "item").distinct().withColumn("k", keywords(F.col("item"))).withColumn("no", F.monotonically_increasing_id())
+    want = scratch.table(want.select("site_id", "no", F.size("k").alias("n"), "k"), "proactive-items")
+    words = scratch.table(want.select("site_id", "no", F.explode("k").alias("word")), "proactive-words")
+    said = advice.select("site_id", "kind", F.monotonically_increasing_id().alias("said"), keywords(F.col("text")).alias("k"))
+    shared = said.select("site_id", "kind", "said", F.explode("k").alias("word")).join(words, ["site_id", "word"])
+    best = shared.groupBy("no", "kind", "said").agg(F.count("*").alias("o")).groupBy("no")
     best = best.agg(F.max(F.when(F.col("kind") == "rec", F.col("o"))).alias("rec"), F.max(F.when(F.col("kind") == "action", F.col("o"))).alias("act"))
+    best = want.join(best, "no").select("site_id", *((F.col(c) / F.col("n")).alias(c) for c in ("rec", "act")))
     rec, act = F.coalesce("rec", F.lit(0.0)), F.coalesce("act", F.lit(0.0))
     credit = F.when(rec >= 0.5, 1.0).when(act >= 0.5, 0.5).when(rec >= 0.34, 0.5).when(act >= 0.34, 0.25).otherwise(0.0)
-    total = expected.groupBy("site_id").agg(F.count("*").alias("n"))
+    total = want.groupBy("site_id").agg(F.count("*").alias("n"))
     got = best.groupBy("site_id").agg(F.sum(credit).alias("c"))
     return total.join(got, "site_id", "left").select("site_id", F.round(F.least(F.lit(1.0), F.coalesce("c", F.lit(0.0)) / F.col("n")), 4).alias("proactive"))
 
