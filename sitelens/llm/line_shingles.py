@@ -1,5 +1,7 @@
 """12-character shingles of many lines at once, in numpy: sketches, signatures and exact set sizes.
 
+No query uses this since line dedup runs in native expressions; it holds the plain sets of the tests.
+
 A line's characters are code points; a line of under 12 has no shingle here, as
 nothing but an equal line is near it. Hashes of all windows come from four
 doublings of a polynomial, so a character costs the same in any line, and
